@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import topk, mixing
 
-MODULES = [mixing]
+MODULES = [mixing, topk]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
