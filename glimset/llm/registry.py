@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import topk, mixing
+from . import decontaminate, mixing, topk
 
-MODULES = [mixing, topk]
+MODULES = [decontaminate, mixing, topk]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
