@@ -75,3 +75,27 @@ def small_join(big: DataFrame, small: DataFrame, on: Column, max_rows: int = 100
     """Left join that broadcasts ``small`` (a written table) only if it has at most max_rows rows."""
     few = small.limit(max_rows + 1).count() <= max_rows
     return big.join(F.broadcast(small) if few else small, on, "left")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, columns: list[str], rows: int) -> DataFrame:
+    """(doc_id, *columns, text) of at most ``rows`` labelled ids that are not held out.
+
+    An id's label is the rounded mean of its rows (null if all are); ids without any are left out.
+    Those first by a hash of the id are taken, so that another run takes the same. Copies of an id
+    in docs stay: the caller reduces them to one."""
+    mean = [F.round(F.avg(c)).cast("int").alias(c) for c in columns]
+    known = labels.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(*mean)
+    known = known.filter(F.coalesce(*columns).isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id").select("doc_id", *columns, "text")
+
+
+def in_slices(sizes, most: int):
+    """(start, stop) of runs of rows with ``most`` bytes together, or one row of more."""
+    start, held = 0, 0
+    for k, size in enumerate(sizes):
+        if k > start and held + size > most:
+            yield start, k
+            start, held = k, 0
+        held += size
+    if len(sizes) > start:
+        yield start, len(sizes)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, mixing, topk
+from . import decontaminate, langid, mixing, quality, topk
 
-MODULES = [decontaminate, langid, mixing, topk]
+MODULES = [decontaminate, langid, mixing, quality, topk]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
