@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, mixing, quality, topk, toxicity
+from . import decontaminate, langid, mixing, near_dup, quality, topk, toxicity
 
-MODULES = [decontaminate, langid, mixing, quality, topk, toxicity]
+MODULES = [decontaminate, langid, mixing, near_dup, quality, topk, toxicity]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
