@@ -1,8 +1,80 @@
-"""A training corpus from raw documents (being built)."""
+"""A training corpus from raw documents, stage by stage.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir), and its docs are what the stage before it kept, written as
+Parquet and read again. All but the last return documents as they were, with their columns.
+
+1. language ID: documents in which no language can be told (null texts and texts without a letter)
+   go. The model learns from the documents that no model is barred from learning from.
+2. MinHash near-dedup: of each class of near-duplicates, the document with the smallest id stays.
+   Documents without an id stay; of rows that share an id, one stays.
+3. benchmark decontamination: documents that hold a window of ten words of a benchmark item, or a
+   whole shorter item, go.
+4. mixing sources to target weights: each document comes as often as the mix takes it.
+5. sharding: the corpus is written as shards; rows come with their shard, and its level, rows and bytes.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from glimset.llm import decontaminate, langid, mixing, near_dup, sharding
+from glimset.llm._common import Scratch, held_out, shared_path, small_join, written
+
+#: Two stages learn or draw in ways that SQL can't express.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = langid.fit(docs.filter(~held_out(F.col("doc_id"))))
+    return langid.identify(docs.select(F.struct(*docs.columns).alias("row"), "text"), model, ["row"]).filter(F.col("lang_pred") != langid.UNKNOWN).select("row.*")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = written(near_dup.classes(docs).filter("doc_id IS NOT NULL"), "dedup-classes")
+    gone = written(found.filter("doc_id <> class_id").select(F.col("doc_id").alias("__gone")).distinct(), "dedup-gone")
+    kept = small_join(docs, gone, F.col("doc_id") == F.col("__gone")).filter("__gone IS NULL").drop("__gone")
+    repeated = found.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__again"))
+    repeated = written(repeated, "dedup-repeated")
+    if repeated.isEmpty():
+        return kept
+    marked = written(small_join(kept, repeated, F.col("doc_id") == F.col("__again")), "dedup-marked")
+    once = marked.filter("__again IS NOT NULL").dropDuplicates(["doc_id"])
+    return marked.filter("__again IS NULL").unionByName(once).drop("__again")
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    with Scratch(spark, "decontaminate") as scratch:
+        found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), index_path=f"{scratch.path}/index")
+        hit = written(found.filter(F.size("spans") > 0).select(F.col("doc_id").alias("__hit")).distinct(), "decontaminate-hit")
+    return small_join(docs, hit, F.col("doc_id") == F.col("__hit")).filter("__hit IS NULL").drop("__hit")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(docs, carry=docs.columns)
+    return mixed.filter("repeats > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("repeats"))).alias("copy")).select("row.*")
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return sharding.sharded(docs)[1]
+
+
+STAGES = [
+    ("language ID", language_id),
+    ("MinHash near-dedup", near_dedup),
+    ("benchmark decontamination", decontamination),
+    ("mixing sources to target weights", mix),
+    ("sharding", shard),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        kept = stage(spark, docs, sf_dir)
+        if k + 1 == len(STAGES):
+            return kept
+        path = shared_path(spark, f"corpus-{k + 1}")
+        kept.write.parquet(path)
+        docs = spark.read.schema(kept.schema).parquet(path)
+    return docs

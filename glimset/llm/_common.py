@@ -61,6 +61,27 @@ def removed(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+class Scratch:
+    """A folder of the shared store for tables that are needed until a result is written.
+
+    Used as ``with Scratch(spark, label) as scratch``: what ``scratch.written`` wrote goes at the end,
+    so that the result must not depend on it then."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.path = spark, shared_path(spark, label)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        removed(self.spark, self.path)
+
+    def written(self, df: DataFrame, label: str) -> DataFrame:
+        path = f"{self.path}/{label}-{uuid.uuid4().hex[:8]}"
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
 def hash32(value: Column) -> Column:
     """The first 32 bits of a string's MD5 as a long: SQL engines agree on it."""
     return F.conv(F.substring(F.md5(value), 1, 8), 16, 10).cast("long")

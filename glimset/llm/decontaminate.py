@@ -197,9 +197,10 @@ def found_in(block: str, doc_ids: list, n_words: list, postings: Block, windows:
     return pa.RecordBatch.from_arrays(columns, names=["row_key", "doc_id", "n_words", "spans", "near", "items", "near_items"])
 
 
-def contamination(docs: DataFrame, items: DataFrame, words: int = 10, slack: int = 0, vocabulary_bytes: int = 64 << 20) -> DataFrame:
-    """Indexes the documents in the shared folder and searches the items' windows in them.
+def contamination(docs: DataFrame, items: DataFrame, words: int = 10, slack: int = 0, vocabulary_bytes: int = 64 << 20, index_path: str | None = None) -> DataFrame:
+    """Indexes the documents and searches the items' windows in them.
 
+    The index goes to ``index_path``, else to the shared folder, and is read when the result is.
     The stored postings are restricted to the items' terms if the items have at most
     ``vocabulary_bytes`` of text, else all are stored."""
     spark = docs.sparkSession
@@ -207,7 +208,7 @@ def contamination(docs: DataFrame, items: DataFrame, words: int = 10, slack: int
     known = None
     if texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] <= vocabulary_bytes:
         known = sorted({w for r in texts.toLocalIterator() if r.text for w in words_of(bytes(r.text))})
-    return search(build_index(docs, shared_path(spark, "postings"), known), items, words, slack)
+    return search(build_index(docs, index_path or shared_path(spark, "postings"), known), items, words, slack)
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
