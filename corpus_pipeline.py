@@ -27,7 +27,7 @@ ORACLE_SQL = None
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(docs.filter(~held_out(F.col("doc_id"))))
-    return langid.identify(docs.select(F.struct(*docs.columns).alias("row"), "text"), model, ["row"]).filter(F.col("lang_pred") != langid.UNKNOWN).select("row.*")
+    return langid.identify(docs, model).filter(F.col("lang_pred") != langid.UNKNOWN).select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,10 +26,11 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import held_out
+from ._common import held_out, in_slices
 
 BLOCK = 1024
 SHARES = 1 << 20
@@ -184,33 +185,27 @@ def fit(docs: DataFrame, docs_per_lang: int = 200, symbols_per_lang: int = 40_00
 
 
 def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (all, if None) of docs, with lang_pred and score by the whole text."""
-    keep = docs.columns if keep is None else keep
-    text, known = "__text", docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*keep, F.col("text").cast("string").alias(text))
-    kind = rows.drop(text).schema.add("lang_pred", "string").add("score", "double")
+    """row (a struct of the columns ``keep``; of all, if None), lang_pred and score by the whole text."""
+    known = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.select(F.struct(*(docs.columns if keep is None else keep)).alias("row"), F.col("text").cast("string").alias("text"))
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
-            start, held = 0, 0
+            texts = batch.column(1)
             found: list[tuple[str, float]] = []
-            sizes = [len(t.as_py() or "") if t.is_valid else 0 for t in texts]
-            for k, size in enumerate([*sizes, None]):
-                if size is None or k > start and held + size > BATCH_CHARS:
-                    found += known.value.predict(texts[start:k].to_pylist())
-                    start, held = k, 0
-                held += size or 0
-            columns = [*batch.columns[:-1], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "lang_pred", "score"])
+            for start, stop in in_slices(pc.fill_null(pc.utf8_length(texts), 0).to_pylist(), BATCH_CHARS):
+                found += known.value.predict(texts[start:stop].to_pylist())
+            columns = [batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "lang_pred", "score"])
 
-    return rows.mapInArrow(label, kind)
+    return rows.mapInArrow(label, rows.drop("text").schema.add("lang_pred", "string").add("score", "double"))
 
 
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     model = fit(docs.filter(~held_out(F.col("doc_id"))))
-    return identify(docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")), model, ["doc_id", "held_out"])
+    found = identify(docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")), model, ["doc_id", "held_out"])
+    return found.select("row.*", "lang_pred", "score")
 
 
 QUERIES = {"op10_langid": op10_langid}

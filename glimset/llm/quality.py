@@ -141,24 +141,24 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", sample_rows
 
 
 def score(docs: DataFrame, forest: Forest, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of docs and the score of each whole text."""
+    """row (a struct of the columns ``keep`` of docs) and the score of each whole text."""
     known = docs.sparkSession.sparkContext.broadcast(forest)
-    rows = docs.select(*keep, F.col("text").cast("string").alias("__text"))
+    rows = docs.select(F.struct(*keep).alias("row"), F.col("text").cast("string").alias("text"))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [known.value.probability(x) for _, _, x in measured(batch.column(batch.num_columns - 1))]
+            found = [known.value.probability(x) for _, _, x in measured(batch.column(1))]
             scores = np.concatenate(found) if found else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["row", "score"])
 
-    return rows.mapInArrow(judge, rows.drop("__text").schema.add("score", "double"))
+    return rows.mapInArrow(judge, rows.drop("text").schema.add("score", "double"))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     forest = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"))
     found = score(docs.withColumn("held_out", held_out(F.col("doc_id"))), forest, ["doc_id", "held_out"])
-    return found.withColumn("predicted", F.when(F.col("score") >= 0.7, 1).otherwise(0))
+    return found.select("row.*", "score").withColumn("predicted", F.when(F.col("score") >= 0.7, 1).otherwise(0))
 
 
 QUERIES = {"op3_quality": op3_quality}
