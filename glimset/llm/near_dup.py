@@ -36,12 +36,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import in_slices, shared_path, words_of, written
+from ._common import Scratch, in_slices, words_of, written
 
 SHINGLE, THRESHOLD = 5, 0.8
 REGISTERS, ROWS = 160, 5
 SLICE_BYTES = 4 << 20
-BLOCK_DOCS = 512
+BLOCK_DOCS = 256
+#: Ids that are broadcast at most: 16 MB.
+FEW_IDS = 1_000_000
 _ODD, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
 
@@ -199,48 +201,56 @@ def components(edges: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, class_id) of every row of docs (doc_id, text); class_id is the class's smallest id."""
+    with Scratch(docs.sparkSession, "near") as scratch:
+        return written(_classes(docs, threshold, scratch), "near-dup")
+
+
+def _classes(docs: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    sketches = written(texts.select("id", F.md5(F.col("text").cast("binary")).alias("copy"), "text").mapInArrow(_sketch, "id long, copy string, bands array<long>"), "near-sketches")
+    sketches = scratch.written(texts.select("id", F.md5(F.col("text").cast("binary")).alias("copy"), "text").mapInArrow(_sketch, "id long, copy string, bands array<long>"), "sketches")
     known = sketches.filter("id IS NOT NULL")
-    firsts = written(known.filter("copy IS NOT NULL").groupBy("copy").agg(F.min("id").alias("first")), "near-texts")
+    firsts = scratch.written(known.filter("copy IS NOT NULL").groupBy("copy").agg(F.min("id").alias("first")), "texts")
 
     # one row of each text, dealt into its buckets; id and copy are those of a text's first row
     dealt = known.join(firsts.select("copy", F.col("first").alias("id")), ["id", "copy"], "left_semi").select("id", F.explode("bands").alias("key"))
-    pivots = written(dealt.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).filter("last > pivot").drop("last"), "near-pivots")
-    pairs = written(dealt.join(pivots, "key").filter("id <> pivot").select("id", "pivot").distinct(), "near-pairs")
-
-    # the texts of those that have a partner
-    involved = pairs.select("id").union(pairs.select("pivot")).distinct()
-    of = written(texts.join(involved, "id", "left_semi").distinct(), "near-partners")
+    pivots = dealt.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).filter("last > pivot").drop("last")
+    pivots = scratch.written(pivots, "pivots")
+    pairs = scratch.written(dealt.join(pivots, "key").filter("id <> pivot").select("id", "pivot").distinct(), "pairs")
+
+    # the texts of those that have a partner; few enough ids are broadcast, so that not all texts are shuffled
+    involved = scratch.written(pairs.select("id").union(pairs.select("pivot")).distinct(), "involved")
+    few = involved.limit(FEW_IDS + 1).count() <= FEW_IDS
+    of = scratch.written(texts.join(F.broadcast(involved) if few else involved, "id", "left_semi").distinct(), "partners")
     other = of.select(F.col("id").alias("pivot"), F.col("text").alias("pivot_text"))
     seen = pairs.join(of, "id").join(other, "pivot").filter("text IS NOT NULL AND pivot_text IS NOT NULL")
-    judged = written(seen.select("id", "pivot", "text", "pivot_text").mapInArrow(_verify, "id long, pivot long, similarity double"), "near-judged")
-    judged = judged.groupBy("id", "pivot").agg(F.max("similarity").alias("similarity"), F.min("similarity").alias("least"))
-    judged = written(judged, "near-distances")
+    judged = scratch.written(seen.select("id", "pivot", "text", "pivot_text").mapInArrow(_verify, "id long, pivot long, similarity double"), "judged")
+    # of an id with several texts, the most similar counts
+    judged = scratch.written(judged.groupBy("id", "pivot").agg(F.max("similarity").alias("similarity")), "distances")
 
     # an id with several texts links them
     same_id = known.filter("copy IS NOT NULL").join(firsts, "copy").filter("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
     same_id = same_id.join(firsts.select(F.col("first").alias("a")).distinct(), "a", "left_semi").distinct()
-    links = written(judged.filter(F.col("similarity") >= threshold).select(F.col("id").alias("a"), F.col("pivot").alias("b")).union(same_id), "near-links")
-    more = _rest(judged, components(links), of, threshold)
+    links = scratch.written(judged.filter(F.col("similarity") >= threshold).select(F.col("id").alias("a"), F.col("pivot").alias("b")).union(same_id), "links")
+    more = _rest(judged, components(links), of, threshold, scratch)
     if more is not None:
         links = links.union(more)
     belongs = components(links)
     # by text, then by row
-    text_class = written(firsts.join(belongs.withColumnRenamed("id", "first"), "first", "left").select("copy", F.coalesce("class", "first").alias("class_id")), "near-classes")
+    text_class = firsts.join(belongs.withColumnRenamed("id", "first"), "first", "left").select("copy", F.coalesce("class", "first").alias("class_id"))
+    text_class = scratch.written(text_class, "classes")
     by_text = sketches.select("id", "copy").join(text_class, "copy", "left")
     return by_text.select(F.col("id").alias("doc_id"), F.when(F.col("id").isNotNull(), F.coalesce("class_id", "id")).alias("class_id"))
 
 
-def _rest(judged: DataFrame, belongs: DataFrame, of: DataFrame, threshold: float) -> DataFrame | None:
+def _rest(judged: DataFrame, belongs: DataFrame, of: DataFrame, threshold: float, scratch: Scratch) -> DataFrame | None:
     """Links between members of one pivot of whom one isn't in the pivot's class."""
     own = belongs.select(F.col("id"), F.col("class"))
     pivot_class = belongs.select(F.col("id").alias("pivot"), F.col("class").alias("pivot_class"))
     member = judged.join(own, "id", "left").join(pivot_class, "pivot", "left")
     member = member.select("pivot", "id", F.coalesce("class", "id").alias("class"), F.coalesce("pivot_class", "pivot").alias("pivot_class"), (1 - F.col("similarity")).alias("distance"))
-    member = written(member.withColumn("outside", F.col("class") != F.col("pivot_class")), "near-members")
-    families = member.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.count_if("outside").alias("n_out"), F.max(F.when(F.col("outside"), F.col("distance"))).alias("furthest"))
-    families = written(families.filter("n_out > 0 AND n > 1"), "near-families")
+    member = scratch.written(member.withColumn("outside", F.col("class") != F.col("pivot_class")), "members")
+    families = member.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.count_if("outside").alias("n_out"))
+    families = scratch.written(families.filter("n_out > 0 AND n > 1"), "families")
     if families.isEmpty():
         return None
     blocks = lambda n: F.ceil(F.col(n) / F.lit(float(BLOCK_DOCS))).cast("long")
@@ -260,7 +270,7 @@ def _rest(judged: DataFrame, belongs: DataFrame, of: DataFrame, threshold: float
     keys = ["pivot", "i", "j"]
     left, right = (side.join(of, "id").select(*[F.col(c).alias(c) for c in (*keys, "id", "class", "distance", "text")]) for side in (left, right))
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(cell, "a long, b long")
-    return written(found, "near-more")
+    return scratch.written(found, "more")
 
 
 def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
