@@ -1,5 +1,7 @@
 """Rules by hand-made cases."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -180,3 +182,19 @@ def test_registration(spark):
     users = spark.createDataFrame([(1, "a", "a@x")], "id long, username string, email string")
     new = spark.createDataFrame([(1, "a", "a@x"), (2, "b", "a@x"), (3, "c", "c@x"), (4, "c", "d@x"), (5, "e", "c@x")], "ordinal int, username string, email string")
     assert [r.result for r in ingest.registrations(new, users).orderBy("ordinal").collect()] == ["username taken", "email taken", "created", "username taken", "email taken"]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().explainString(df._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+
+
+def test_filters_reach_the_scan(spark, scene, tmp_path):
+    for df, name in zip(scene, ("photos", "faces"), strict=True):
+        df.write.parquet(f"{tmp_path}/{name}")
+    stored = [spark.read.parquet(f"{tmp_path}/{n}") for n in ("photos", "faces")]
+    plan = plan_of(search.search(*stored, [0.0, 0.0], "AAAAAA"))
+    assert "EqualTo(access_code,AAAAAA)" in plan and "EqualTo(status,PROCESSED)" in plan and "IsNotNull(face_vector)" in plan
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and "Python" not in plan, plan
+    roll = plan_of(batches.listing(batches.rollup(stored[0])))
+    assert roll.count("\n") and len(re.findall(r"^\(\d+\) Exchange", roll, re.M)) == 1
+    assert "error_message" not in re.search("ReadSchema: (.*)", roll)[1]
