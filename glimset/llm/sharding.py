@@ -30,6 +30,7 @@ from ._common import hash32, shared_path
 
 LANE = 4096
 FEW = 100_000
+MOST_TASKS = 50_000
 
 
 def run_of(key: Column, runs: int) -> Column:
@@ -132,7 +133,8 @@ class ShardStore:
         run = run_of(F.coalesce(F.col(key).cast("string"), F.col(text).cast("string"), F.lit("")), runs) + F.lit(base["runs"])
         name = f"g{base['version'] + 1:010d}-{uuid.uuid4().hex[:8]}"
         manifest = base | {"schema": rows.schema.jsonValue(), "column": column, "runs": base["runs"] + runs}
-        rows.withColumn(column, run).repartition(column).write.option("compression", "zstd").partitionBy(column).parquet(f"{self.root}/data/{name}")
+        tasks = min(MOST_TASKS, -(-runs // self.fanout))
+        rows.withColumn(column, run).repartitionById(tasks, F.pmod(F.col(column), F.lit(tasks)).cast("int")).write.option("compression", "zstd").partitionBy(column).parquet(f"{self.root}/data/{name}")
         written = self._generation(name, manifest)
         shards = written.groupBy(F.col(column).alias("shard")).agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).cast("long").alias("bytes"))
         shards = shards.withColumns({"generation": F.lit(name), "level": F.lit(0)})
@@ -148,18 +150,21 @@ class ShardStore:
         merging = todo.filter("more > 0")
         # a shard that others go into is itself merged by as many rounds
         into = merging.groupBy("into").agg(F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"), F.max(F.col("level") + F.col("more")).alias("level"))
+        # each shard's task, so that none gets several because their hashes meet; the window sees one row a shard
+        into = into.withColumn("task", F.row_number().over(Window.orderBy("into")) - 1)
         shards = into.count()
         if not shards:
             return base
         column = base["column"]
         name = f"g{base['version'] + 1:010d}-{uuid.uuid4().hex[:8]}"
         self.spark.sparkContext._jvm.System.gc()  # lets Spark drop the shuffle files of an append that is done
-        parts = [self._only(self._generation(g, base), column, merging.filter(F.col("generation") == g).select("shard", F.col("into").alias("__into"))) for g in base["generations"]]
+        moves = merging.join(into.select("into", F.col("task").alias("__task")), "into").select("generation", "shard", F.col("into").alias("__into"), "__task")
+        parts = [self._only(self._generation(g, base), column, moves.filter(F.col("generation") == g).drop("generation")) for g in base["generations"]]
         rows = parts[0]
         for p in parts[1:]:
             rows = rows.union(p)
-        rows = rows.withColumn(column, F.col("__into")).drop("__into")
-        rows.repartition(shards, column).write.option("compression", "zstd").partitionBy(column).parquet(f"{self.root}/data/{name}")
+        rows = rows.withColumn(column, F.col("__into")).repartitionById(min(shards, MOST_TASKS), F.col("__task")).drop("__into", "__task")
+        rows.write.option("compression", "zstd").partitionBy(column).parquet(f"{self.root}/data/{name}")
         merged = self._generation(name, base).groupBy(F.col(column).alias("into")).agg(F.count(F.lit(1)).alias("found"))
         wrong = into.join(merged, "into", "left").filter(F.coalesce("found", F.lit(0)) != F.col("rows")).count()
         if wrong:
