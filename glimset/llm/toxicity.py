@@ -176,19 +176,19 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str], sample_ro
 
 
 def predict(docs: DataFrame, chain: Chain, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of docs and p_<category> of each whole text."""
+    """row (a struct of the columns ``keep`` of docs) and p_<category> of each whole text."""
     known = docs.sparkSession.sparkContext.broadcast(chain)
-    rows = docs.select(*keep, F.col("text").cast("string").alias("__text"))
-    kind = rows.drop("__text").schema
+    rows = docs.select(F.struct(*keep).alias("row"), F.col("text").cast("string").alias("text"))
+    kind = rows.drop("text").schema
     for c in chain.categories:
         kind = kind.add(f"p_{c}", "double")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
+            texts = batch.column(1)
             slices = in_slices(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), SLICE_BYTES)
             found = np.concatenate([np.zeros((0, len(known.value.models))), *(known.value.probabilities(texts[a:b].cast(pa.binary()).to_pylist()) for a, b in slices)])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(p, pa.float64()) for p in found.T)], names=kind.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(p, pa.float64()) for p in found.T)], names=kind.names)
 
     return rows.mapInArrow(judge, kind)
 
@@ -199,7 +199,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
     chain = fit(docs, labels, ["low_quality", "toxic"])
     found = predict(docs.withColumn("held_out", held_out(F.col("doc_id"))), chain, ["doc_id", "held_out"])
-    return found.withColumn("score", F.col("p_toxic")).withColumn("predicted", F.when(F.col("p_toxic") >= 0.5, 1).otherwise(0))
+    return found.select("row.*", "p_low_quality", "p_toxic").withColumn("score", F.col("p_toxic")).withColumn("predicted", F.when(F.col("p_toxic") >= 0.5, 1).otherwise(0))
 
 
 QUERIES = {"op9_toxicity": op9_toxicity}
