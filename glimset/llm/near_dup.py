@@ -176,26 +176,21 @@ def components(edges: DataFrame) -> DataFrame:
     Turns of large-star and small-star: each moves neighbours of a vertex to the smallest of them,
     until the edges are stars. A vertex is never collected with its neighbours; its minimum is
     aggregated and joined back to its edges."""
-    spark = edges.sparkSession
     links = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct().checkpoint()
 
-    def state(df: DataFrame):
-        return df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    def are_stars() -> bool:
+        """Whether each vertex hangs on one other, on which nothing but such vertices hang."""
+        chained = links.join(links.select(F.col("v").alias("u")).distinct(), "u", "left_semi")
+        torn = links.groupBy("u").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        return chained.select("u").union(torn.select("u")).isEmpty()
 
-    before = state(links)
-    while before[0]:
+    while not are_stars():
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).checkpoint()
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct().checkpoint()
         least = large.groupBy("u").agg(F.min("v").alias("m")).checkpoint()
         small = large.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         links = small.union(least.select("u", F.col("m").alias("v"))).distinct().checkpoint()
-        after = state(links)
-        if after == before:
-            break
-        before = after
-    if not before[0]:
-        return spark.createDataFrame([], "id long, class long")
     return links.select(F.col("u").alias("id"), F.col("v").alias("class")).union(links.select(F.col("v").alias("id"), F.col("v").alias("class")).distinct())
 
 
