@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glimset.llm import decontaminate, langid, mixing, near_dup, sharding
-from glimset.llm._common import Scratch, held_out, shared_path, small_join, written
+from glimset.llm._common import held_out, shared_path, small_join, written
 
 #: Two stages learn or draw in ways that SQL can't express.
 ORACLE_SQL = None
@@ -44,10 +44,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    with Scratch(spark, "decontaminate") as scratch:
-        found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), index_path=f"{scratch.path}/index")
-        hit = written(found.filter(F.size("spans") > 0).select(F.col("doc_id").alias("__hit")).distinct(), "decontaminate-hit")
-    return small_join(docs, hit, F.col("doc_id") == F.col("__hit")).filter("__hit IS NULL").drop("__hit")
+    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=docs.columns)
+    return found.filter(F.size("spans") == 0).select("row.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

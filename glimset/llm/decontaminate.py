@@ -18,13 +18,14 @@ items nothing is hit; other columns are ignored; texts of any length are indexed
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from ._common import shared_path, words_of
 
@@ -33,13 +34,14 @@ FOUND = "row_key string, doc_id long, n_words long, spans array<struct<start:lon
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _list(values: np.ndarray | list, kind: pa.DataType) -> pa.Array:
-    values = pa.array(values, kind)
+def _list(values: np.ndarray | list | pa.Array, kind: pa.DataType) -> pa.Array:
+    values = values if isinstance(values, pa.Array) else pa.array(values, kind)
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
-def index_block(doc_ids: list, texts: list[bytes | None], vocabulary: dict[bytes, int] | None) -> pa.RecordBatch:
-    """One block's inverted index, terms ascending; with a vocabulary, only its terms have postings."""
+def index_block(doc_ids: list, texts: list[bytes | None], vocabulary: dict[bytes, int] | None, rows: pa.Array | None = None) -> pa.RecordBatch:
+    """One block's inverted index, terms ascending; with a vocabulary, only its terms have postings.
+    ``rows`` are stored beside it as they are."""
     terms = {} if vocabulary is None else vocabulary
     ids, docs, positions, n_words = [], [], [], []
     for k, text in enumerate(texts):
@@ -59,14 +61,17 @@ def index_block(doc_ids: list, texts: list[bytes | None], vocabulary: dict[bytes
     used, starts = np.unique(ids[order], return_index=True)
     block = f"{doc_ids[0]}-{len(doc_ids)}-{np.random.default_rng().integers(2**62)}"
     columns = [pa.array([block]), _list(doc_ids, pa.int64()), _list(n_words, pa.int64()), _list([names[i] for i in used], pa.binary()), _list(np.append(starts, len(order)).astype(np.int32), pa.int32()), _list(docs[order], pa.int32()), _list(positions[order], pa.int32())]
-    return pa.RecordBatch.from_arrays(columns, names=["block", "doc_ids", "n_words", "terms", "starts", "docs", "positions"])
+    names = ["block", "doc_ids", "n_words", "terms", "starts", "docs", "positions"]
+    if rows is not None:
+        columns, names = [*columns, _list(rows, rows.type)], [*names, "rows"]
+    return pa.RecordBatch.from_arrays(columns, names=names)
 
 
-def build_index(docs: DataFrame, path: str, vocabulary: list[bytes] | None = None, block_docs: int = 256, block_bytes: int = 1 << 20) -> DataFrame:
+def build_index(docs: DataFrame, path: str, vocabulary: list[bytes] | None = None, block_docs: int = 256, block_bytes: int = 1 << 20, carry: Sequence[str] = ()) -> DataFrame:
     """Writes the index of (doc_id, text) to ``path`` and returns it.
 
     ``vocabulary``: if the test terms are known, no other term's postings are stored, as none is
-    looked up. A block ends at ``block_docs`` documents or ``block_bytes`` of text."""
+    looked up. The columns ``carry`` are stored with each document. A block ends at ``block_docs`` documents or ``block_bytes`` of text."""
     known = docs.sparkSession.sparkContext.broadcast(None if vocabulary is None else {w: i for i, w in enumerate(vocabulary)})
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,14 +82,18 @@ def build_index(docs: DataFrame, path: str, vocabulary: list[bytes] | None = Non
                 if k == batch.num_rows or k > start and (k - start == block_docs or held + sizes[k] > block_bytes):
                     part = batch.slice(start, k - start)
                     if part.num_rows:
-                        yield index_block(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist(), known.value)
+                        yield index_block(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist(), known.value, part.column(2) if carry else None)
                     start, held = k, 0
                 if k < batch.num_rows:
                     held += sizes[k]
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows.mapInArrow(blocks, INDEX).write.option("compression", "zstd").parquet(path)
-    return docs.sparkSession.read.schema(INDEX).parquet(path)
+    carried = [F.struct(*[F.col(c) for c in carry]).alias("row")] if carry else []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carried)
+    schema = StructType.fromDDL(INDEX)
+    if carry:
+        schema = schema.add("rows", ArrayType(rows.schema["row"].dataType))
+    rows.mapInArrow(blocks, schema).write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.schema(schema).parquet(path)
 
 
 def windows_of(items: list[tuple[str, bytes | None]], words: int) -> list[tuple[tuple[bytes, ...], list[str]]]:
@@ -142,7 +151,8 @@ def _merged(spans: list[tuple[int, int]]) -> list[dict]:
 
 def search(index: DataFrame, items: DataFrame, words: int = 10, slack: int = 0, chunk_bytes: int = 32 << 20) -> DataFrame:
     """One row a document: doc_id, n_words, spans (word ranges that exact windows cover), near (the
-    same for proximity matches that aren't exact), items and near_items (ids as sorted strings).
+    same for proximity matches that aren't exact), items and near_items (ids as sorted strings), and
+    row (a struct of the carried columns) if the index carries any.
 
     The items go to the executors in chunks of about ``chunk_bytes``, so that what is broadcast
     has a bound; each chunk is one pass over the index."""
@@ -150,6 +160,10 @@ def search(index: DataFrame, items: DataFrame, words: int = 10, slack: int = 0,
     asked = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text")).filter("item_id IS NOT NULL")
     total = asked.agg(F.coalesce(F.sum(F.length("text") + 16), F.lit(0))).first()[0]
     chunks = max(1, -(-total // chunk_bytes))
+    carried = "rows" in index.columns
+    schema = StructType.fromDDL(FOUND)
+    if carried:
+        schema = schema.add("row", index.schema["rows"].dataType.elementType)
 
     def chunk(k: int) -> DataFrame:
         part = asked.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(chunks)) == k)
@@ -159,16 +173,17 @@ def search(index: DataFrame, items: DataFrame, words: int = 10, slack: int = 0,
             for batch in batches:
                 for r in range(batch.num_rows):
                     block, doc_ids, n_words, terms, *rest = (batch.column(c)[r] for c in range(7))
-                    yield found_in(block.as_py(), doc_ids.as_py(), n_words.as_py(), Block(terms.as_py(), *(x.values.to_numpy() for x in rest)), windows.value, words, slack)
+                    out = found_in(block.as_py(), doc_ids.as_py(), n_words.as_py(), Block(terms.as_py(), *(x.values.to_numpy() for x in rest)), windows.value, words, slack)
+                    yield out.append_column("row", batch.column(7)[r].values) if carried else out
 
-        return index.mapInArrow(look, FOUND)
+        return index.mapInArrow(look, schema)
 
     found = chunk(0)
     for k in range(1, chunks):
         found = found.unionByName(chunk(k))
     if chunks > 1:  # a document has one row a chunk
         joined = lambda c: F.flatten(F.collect_list(c)).alias(c)
-        found = found.groupBy("row_key").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), *map(joined, ("spans", "near", "items", "near_items")))
+        found = found.groupBy("row_key").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), *([F.first("row").alias("row")] if carried else []), *map(joined, ("spans", "near", "items", "near_items")))
         found = found.withColumns({c: _sql_merged(c) for c in ("spans", "near")} | {c: F.array_sort(F.array_distinct(c)) for c in ("items", "near_items")})
     return found.drop("row_key")
 
@@ -197,8 +212,8 @@ def found_in(block: str, doc_ids: list, n_words: list, postings: Block, windows:
     return pa.RecordBatch.from_arrays(columns, names=["row_key", "doc_id", "n_words", "spans", "near", "items", "near_items"])
 
 
-def contamination(docs: DataFrame, items: DataFrame, words: int = 10, slack: int = 0, vocabulary_bytes: int = 64 << 20, index_path: str | None = None) -> DataFrame:
-    """Indexes the documents and searches the items' windows in them.
+def contamination(docs: DataFrame, items: DataFrame, words: int = 10, slack: int = 0, vocabulary_bytes: int = 64 << 20, index_path: str | None = None, carry: Sequence[str] = ()) -> DataFrame:
+    """Indexes the documents and searches the items' windows in them; the columns ``carry`` come along.
 
     The index goes to ``index_path``, else to the shared folder, and is read when the result is.
     The stored postings are restricted to the items' terms if the items have at most
@@ -208,7 +223,7 @@ def contamination(docs: DataFrame, items: DataFrame, words: int = 10, slack: int
     known = None
     if texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] <= vocabulary_bytes:
         known = sorted({w for r in texts.toLocalIterator() if r.text for w in words_of(bytes(r.text))})
-    return search(build_index(docs, index_path or shared_path(spark, "postings"), known), items, words, slack)
+    return search(build_index(docs, index_path or shared_path(spark, "postings"), known, carry=carry), items, words, slack)
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

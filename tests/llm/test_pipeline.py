@@ -41,3 +41,11 @@ def test_repeated_ids(spark, sf_dir):
     docs = spark.createDataFrame([(1, "a b c", "en", "s", 5), (1, "a b c", "en", "s", 5), (None, "a b c", "en", "s", 5), (2, "a b c", "en", "s", 5), (3, "x y z", "en", "s", 5)], "doc_id long, text string, lang string, source string, n_chars long")
     kept = corpus_pipeline.near_dedup(spark, docs, sf_dir).collect()
     assert sorted((r.doc_id or 0) for r in kept) == [0, 1, 3]
+
+
+def test_contaminated_without_id(spark, tmp_path):
+    spark.createDataFrame([(1, "one two three")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(None, "so One, two three!", "en", "s", 1), (None, "one two", "en", "s", 2), (1, "one two three", None, "s", 3), (1, "three", "en", None, 4), (2, None, "en", "s", None)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.decontamination(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect()), key=str) == [(1, "three", "en", None, 4), (2, None, "en", "s", None), (None, "one two", "en", "s", 2)]
