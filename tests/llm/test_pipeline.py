@@ -49,3 +49,9 @@ def test_contaminated_without_id(spark, tmp_path):
     kept = corpus_pipeline.decontamination(spark, docs, str(tmp_path))
     assert kept.columns == docs.columns
     assert sorted(map(tuple, kept.collect()), key=str) == [(1, "three", "en", None, 4), (2, None, "en", "s", None), (None, "one two", "en", "s", 2)]
+
+
+def test_items_without_id(spark, tmp_path):
+    spark.createDataFrame([(None, "one two three"), (7, "four five")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(1, "so One, two three!", "en", "s", 1), (2, "four five", "en", "s", 2), (3, "one two", "en", "s", 3)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r.doc_id for r in corpus_pipeline.decontamination(spark, docs, str(tmp_path)).collect()] == [3]
