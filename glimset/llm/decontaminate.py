@@ -8,7 +8,8 @@ and a passage that a third of all documents share only lengthens the lists of ea
 ``search`` looks up windows of test items. In each block it goes from the window's rarest term to
 the next rarest, shifts every list by the term's offset in the window and intersects: what is left
 are the places where the whole window occurs (exact phrase). With ``slack`` over 0 it also returns
-the windows that occur in order but for shifts of up to ``slack`` words a term (proximity).
+the windows whose first term occurs, and each other term at most ``slack`` words off its place from
+there (proximity). ``op4_decontaminate`` returns the exact part, ``op4_decontaminate_near`` both.
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after A-Z are lower-cased. Defined cases: a null
 or empty text has no words, so it is neither hit nor a test item; items without an id are not
@@ -124,6 +125,10 @@ class Block:
             return self.places[:0], self.places[:0]
         rarest = sorted(range(len(terms)), key=lambda k: self.starts[terms[k] + 1] - self.starts[terms[k]])
         exact = near = self.postings(terms[rarest[0]]) - rarest[0]
+        if slack:  # shifts count from the first term: from the rarest, they would depend on the block
+            first = self.postings(terms[0])
+            near = np.unique(near[:, None] + np.arange(-slack, slack + 1))
+            near = near[first[np.minimum(np.searchsorted(first, near), len(first) - 1)] == near]
         for k in rarest[1:]:
             if not len(near):
                 break
@@ -204,7 +209,7 @@ def found_in(block: str, doc_ids: list, n_words: list, postings: Block, windows:
         for kind, places in enumerate(postings.phrase(window, slack)):
             for place in places.tolist():
                 doc, at = place >> 33, max(0, (place & 0x1FFFFFFFF) - (1 << 32))
-                spans[kind * n + doc].append((at, at + len(window)))
+                spans[kind * n + doc].append((at, min(at + len(window), n_words[doc])))
                 items[kind * n + doc].update(ids)
     merged = [_merged(x) for x in spans]
     named = [sorted(x) for x in items]
@@ -235,6 +240,16 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_decontaminate_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What exact windows cover, and what windows cover that need a slack of one word."""
+    found = contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), slack=1)
+    covered = lambda spans: F.aggregate(spans, F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return found.select(
+        "doc_id", "n_words", covered("spans").alias("n_hit"), covered("near").alias("n_near"), F.size("near_items").cast("long").alias("n_near_items"),
+        F.array_join("near_items", ",").alias("near_items"), (F.size("spans") > 0).alias("contaminated"),
+    )
+
+
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 ORACLE = f"""
 WITH d AS (SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents),
@@ -255,5 +270,5 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN k USING (doc_id)
 """
 
-QUERIES = {"op4_decontaminate": op4_decontaminate}
+QUERIES = {"op4_decontaminate": op4_decontaminate, "op4_decontaminate_near": op4_decontaminate_near}
 ORACLES = {"op4_decontaminate": ORACLE}

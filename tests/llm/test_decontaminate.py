@@ -67,3 +67,38 @@ def test_odd_rows(spark, documents):
     assert run(spark, documents((1, "a")).limit(0), items) == {}
     none = d.contamination(documents((1, "a")), spark.createDataFrame([], "item_id long, text string")).collect()
     assert [(r.doc_id, r.spans) for r in none] == [(1, [])]
+
+
+def brute_near(docs, items, n=10, slack=1):
+    out = {}
+    for i, text in docs:
+        own, near, found = words(text), set(), set()
+        for item, test in items:
+            w = words(test)
+            for k in range(max(1, len(w) - n + 1) if w else 0):
+                window = w[k : k + n]
+                for at in range(len(own)):
+                    fits = own[at] == window[0] and all(t in own[max(0, at + o - slack) : at + o + slack + 1] for o, t in enumerate(window) if o)
+                    if fits and own[at : at + len(window)] != window:
+                        near |= set(range(at, min(len(own), at + len(window))))
+                        found.add(str(item))
+        out[i] = (len(near), sorted(found))
+    return out
+
+
+def test_near_query(spark, tmp_path):
+    rng = random.Random(3)
+    items = [(k, " ".join(rng.choice("abcdefghijklmn") + str(k) for _ in range(14))) for k in range(6)]
+    docs = []
+    for k in range(30):
+        w = words(items[k % 6][1])
+        for _ in range(k // 6):
+            w.insert(rng.randrange(1, len(w)), "more")
+        docs.append((k, " ".join(["x", *w, "y"] if k % 2 else w)))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = d.QUERIES["op4_decontaminate_near"](spark, str(tmp_path)).collect()
+    want, exact = brute_near(docs, items), brute(docs, items)
+    assert {r.doc_id: (r.n_near, r.near_items) for r in got} == {i: (n, ",".join(x)) for i, (n, x) in want.items()}
+    assert {r.doc_id: r.n_hit for r in got} == {i: x[1] for i, x in exact.items()}
+    assert sum(r.n_near > 0 and not r.contaminated for r in got) > 3
