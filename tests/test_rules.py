@@ -1,5 +1,6 @@
 """Rules by hand-made cases."""
 
+import random
 import re
 
 import pytest
@@ -92,25 +93,48 @@ def scene(spark):
 
 
 def test_search(scene):
-    found = search.search(*scene, [0.0, 0.0], "AAAAAA", 0.5).collect()
+    found = search.search(*scene, [0.0, 0.0], "AAAAAA", 0.5, 2).collect()
     assert [(r.id, r.image_url) for r in found] == [(1, "/images/b/1.jpg")]  # once; the edge is outside
-    assert search.search(*scene, [0.0, 0.0], "aaaaaa").count() == 0
+    assert search.search(*scene, [0.0, 0.0], "aaaaaa", dimension=2).count() == 0
     with pytest.raises(Exception, match="different lengths"):
-        search.search(*scene, [0.0], "AAAAAA").collect()
+        search.search(*scene, [0.0], "AAAAAA", dimension=None).collect()
+    with pytest.raises(ValueError, match="expected 128 components, found 2"):
+        search.search(*scene, [0.0, 0.0], "AAAAAA")
+    assert "0.125" not in plan_of(search.search(*scene, [0.125, 0.125], "AAAAAA", dimension=2))  # plans don't hold the vector
 
 
-@pytest.mark.parametrize("few", [0, 10])
-def test_many_queries(spark, scene, few):
+@pytest.mark.parametrize("most_broadcast", ["-1", "10m"])
+def test_many_queries(spark, scene, most_broadcast):
     queries = spark.createDataFrame([(1, "AAAAAA", [0.0, 0.0]), (2, "BBBBBB", [9.0, 0.0]), (3, None, [0.0, 0.0])], "query_id long, access_code string, vector array<double>")
-    found = search.distances(*scene, queries, few).filter("distance < 0.6").select("query_id", "photo_id").distinct().collect()
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most_broadcast)
+    try:
+        found = search.distances(*scene, queries).filter("distance < 0.6").select("query_id", "photo_id").distinct().collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
     assert sorted(map(tuple, found)) == [(1, 1), (1, 2)]
 
 
 def test_envelope(scene):
-    found = search.search(*scene, [0.0, 0.0], "AAAAAA")
-    row = search.envelope(found).first()
+    found = search.matches(*scene, [0.0, 0.0], "AAAAAA", dimension=2)
+    row = search.envelope(search.result(found)).first()
     assert row.total_matches == 2 and [p.id for p in row.photos] == [1, 2]
-    assert search.envelope(found, 1).first().photos is None
+    assert sorted((r.total_matches, r.id) for r in search.response(found).collect()) == [(2, 1), (2, 2)]
+    none = search.envelope(search.result(found.limit(0)))
+    assert none.schema == search.envelope(search.result(found)).schema and tuple(none.first()) == (0, [])
+
+
+def test_stored_by_code(spark, scene, tmp_path):
+    photos, faces = scene
+    path = str(tmp_path / "faces")
+    search.write_faces(faces, photos, path)
+    stored = search.read_faces(spark, path)
+    assert stored.count() == 7  # the photo without a code is in no scope
+    assert [r.id for r in search.search(photos, stored, [0.0, 0.0], "AAAAAA", 0.5, 2).collect()] == [1]
+    plan = plan_of(search.search(photos, stored, [0.0, 0.0], "AAAAAA", 0.5, 2))
+    assert re.search(r"PartitionFilters: \[.*scope#\d+ = AA", plan) and re.search(r"PushedFilters: \[.*EqualTo\(access_code,AAAAAA\)", plan)
+    queries = spark.createDataFrame([(1, "AAAAAA", [0.0, 0.0])], "query_id long, access_code string, vector array<double>")
+    assert sorted(r.photo_id for r in search.range_search(photos, stored, queries).collect()) == [1, 2]
 
 
 @pytest.mark.parametrize(
@@ -170,6 +194,21 @@ def test_validation(spark):
     rows = [(1, "IMAGE/JPEG", True, 5), (1, "image/gif", True, 5), (2, "image/png", True, 5), (2, "image/jpg", False, 5), (3, None, True, 5), (4, "image/png", True, 11 << 20), *[(5, "image/png", True, 9 << 20)] * 6]
     found = ingest.validated(spark.createDataFrame(rows, "request_id int, content_type string, stored boolean, bytes long"))
     assert {r.request_id: (r.accepted, r.successful_uploads) for r in found.collect()} == {1: (False, 0), 2: (True, 1), 3: (False, 0), 4: (False, 0), 5: (False, 0)}
+    asked = spark.createDataFrame([(2,), (6,)], "request_id int")
+    files = spark.createDataFrame(rows, "request_id int, content_type string, stored boolean, bytes long")
+    assert sorted(map(tuple, ingest.validated(files, asked).collect())) == [(2, True, 2, 1), (6, False, 0, 0)]
+
+
+def test_tokens_and_users(spark):
+    import datetime as dt
+
+    users = spark.createDataFrame([(1, "u"), (2, "v")], "id long, username string")
+    rows = [(1, "u", dt.datetime(2024, 1, 1, 2)), (1, "v", dt.datetime(2024, 1, 1, 2)), (2, "v", dt.datetime(2024, 1, 1, 1))]
+    tokens = spark.createDataFrame(rows, "user_id long, subject string, issued_at timestamp_ntz")
+    found = ingest.valid_tokens(tokens, users, F.lit("2024-01-01 12:00:00").cast("timestamp_ntz"), 36_000_000).collect()
+    assert [(r.user_id, r.subject) for r in found] == [(1, "u")]
+    left = lifecycle.without_users(photos(spark, {"id": 1, "user_id": 1}, {"id": 2, "user_id": 2}, {"id": 3}), users.filter("id = 1"))
+    assert sorted(r.id for r in left.collect()) == [2, 3]
 
 
 def test_one_code_a_request(spark):
@@ -182,6 +221,30 @@ def test_registration(spark):
     users = spark.createDataFrame([(1, "a", "a@x")], "id long, username string, email string")
     new = spark.createDataFrame([(1, "a", "a@x"), (2, "b", "a@x"), (3, "c", "c@x"), (4, "c", "d@x"), (5, "e", "c@x")], "ordinal int, username string, email string")
     assert [r.result for r in ingest.registrations(new, users).orderBy("ordinal").collect()] == ["username taken", "email taken", "created", "username taken", "email taken"]
+    # who is turned away takes neither name nor address
+    new = spark.createDataFrame([(1, "a", "n@x"), (2, "b", "n@x"), (3, "q", "a@x"), (4, "q", "q@x")], "ordinal int, username string, email string")
+    decided = ingest.registrations(new, users)
+    assert [r.result for r in decided.orderBy("ordinal").collect()] == ["username taken", "created", "email taken", "created"]
+    made = ingest.new_users(decided, spark.createDataFrame([(2, "x"), (4, "y")], "ordinal int, password string"), 100)
+    assert sorted(map(tuple, made.collect())) == [(102, "b", "x", "n@x"), (104, "q", "y", "q@x")]
+    assert ingest.registrations(new.limit(0), users).count() == 0
+
+
+def test_registration_one_after_the_other(spark):
+    rng = random.Random(11)
+    users = [(k, f"n{k}", f"m{k}") for k in range(5)]
+    pick = lambda c: None if rng.random() < 0.05 else f"{c}{rng.randrange(40)}"
+    new = [(k, pick("n"), pick("m")) for k in range(160)]
+    names, mails, want = {u[1] for u in users}, {u[2] for u in users}, []
+    for k, name, mail in new:
+        if name in names or mail in mails:
+            want.append((k, "username taken" if name in names else "email taken"))
+            continue
+        want.append((k, "created"))
+        names |= {name} - {None}
+        mails |= {mail} - {None}
+    got = ingest.registrations(spark.createDataFrame(new, "ordinal long, username string, email string"), spark.createDataFrame(users, "id long, username string, email string"))
+    assert sorted((r.ordinal, r.result) for r in got.collect()) == want
 
 
 def plan_of(df):
@@ -192,7 +255,7 @@ def test_filters_reach_the_scan(spark, scene, tmp_path):
     for df, name in zip(scene, ("photos", "faces"), strict=True):
         df.write.parquet(f"{tmp_path}/{name}")
     stored = [spark.read.parquet(f"{tmp_path}/{n}") for n in ("photos", "faces")]
-    plan = plan_of(search.search(*stored, [0.0, 0.0], "AAAAAA"))
+    plan = plan_of(search.search(*stored, [0.0, 0.0], "AAAAAA", dimension=2))
     assert "EqualTo(access_code,AAAAAA)" in plan and "EqualTo(status,PROCESSED)" in plan and "IsNotNull(face_vector)" in plan
     assert "NestedLoop" not in plan and "Cartesian" not in plan and "Python" not in plan, plan
     roll = plan_of(batches.listing(batches.rollup(stored[0])))
