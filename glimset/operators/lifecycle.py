@@ -23,8 +23,8 @@ def claim(photos: DataFrame, n: int = CLAIM_SIZE) -> DataFrame:
 
 
 def claimed(photos: DataFrame, claims: DataFrame, now: Column) -> DataFrame:
-    """All photos, with those of ``claims`` (some ids) in work since now. Claims are few: they are broadcast."""
-    ids = F.broadcast(claims.select(F.col("id").alias("__claimed")).distinct())
+    """All photos, with those of ``claims`` (some ids) in work since now. Spark broadcasts the ids if they are small enough."""
+    ids = claims.select(F.col("id").alias("__claimed")).distinct()
     df = photos.join(ids, F.col("id") == F.col("__claimed"), "left")
     taken = F.col("__claimed").isNotNull()
     return df.withColumns({"status": F.when(taken, PROCESSING).otherwise(F.col("status")), "processing_started_at": F.when(taken, now).otherwise(F.col("processing_started_at"))}).drop("__claimed")
@@ -104,3 +104,21 @@ def without_photos(faces: DataFrame, gone: DataFrame) -> DataFrame:
     return faces.join(gone.select(F.col("id").alias("photo_id")).distinct(), "photo_id", "left_anti")
 
 
+def without_users(photos: DataFrame, gone: DataFrame) -> DataFrame:
+    """The photos that are left when users (id) are deleted; those of no user stay."""
+    return photos.join(gone.select(F.col("id").alias("user_id")).distinct(), "user_id", "left_anti")
+
+
+def log_rows(changes: DataFrame, at: Column) -> DataFrame:
+    """Rows of the status log for changes (photo_id, status, error) that happen at a time: ``seq`` is its microseconds."""
+    time, none = at.cast("timestamp_ntz"), F.lit(None).cast("timestamp_ntz")
+    return changes.select(
+        "photo_id", F.unix_micros(at.cast("timestamp")).alias("seq"), "status", F.when(F.col("status") == PROCESSING, time).otherwise(none).alias("started_at"),
+        F.when(F.col("status") == PROCESSED, time).otherwise(none).alias("processed_at"), F.col("error").cast("string").alias("error"),
+    )
+
+
+def stale_rows(log: DataFrame, now: Column, minutes: int = LEASE_MINUTES) -> DataFrame:
+    """The rows to append to a status log for photos whose lease has ended: the batch form of ``leases``."""
+    old = current(log).filter((F.col("status") == PROCESSING) & (F.col("started_at") < now - F.expr(f"INTERVAL {int(minutes)} MINUTE")))
+    return log_rows(old.select("photo_id", F.lit(PENDING).alias("status"), F.lit(None).alias("error")), now)

@@ -26,7 +26,7 @@ photo_faces AS (
   SELECT vec_id AS id, CAST(floor(vec_id / 3) AS BIGINT) AS photo_id, CASE WHEN vec_id % 50 <> 49 THEN CAST(embedding AS DOUBLE[]) END AS face_vector FROM embeddings),
 queries AS (
   SELECT vec_id AS query_id, access_code, CAST(embedding AS DOUBLE[]) AS vector
-  FROM embeddings JOIN search_photos s ON s.id = CAST(floor(vec_id / 3) AS BIGINT) WHERE vec_id < 20),
+  FROM embeddings JOIN search_photos s ON s.id = CAST(floor(vec_id / 3) AS BIGINT) WHERE vec_id % 50 = 0),
 pairs AS (
   SELECT q.query_id, f.id AS face_id, f.photo_id, list_distance(f.face_vector, q.vector) AS distance
   FROM photo_faces f JOIN search_photos p ON f.photo_id = p.id AND p.status = 'PROCESSED' JOIN queries q ON q.access_code = p.access_code
@@ -53,6 +53,23 @@ extensions AS (SELECT *, CASE WHEN contains(name, '.') THEN '.' || list_last(str
 paths AS (SELECT id, batch_id || '/' || md5(CAST(id AS VARCHAR)) || extension AS path FROM extensions)"""
 
 
+#: One account after the other, with the names and addresses that were taken so far.
+_REGISTERED = f"""{_USERS},
+asked AS (
+  SELECT id AS ordinal, row_number() OVER (ORDER BY id) AS n,
+         CASE WHEN id % 20 = 0 THEN username WHEN id % 4 = 1 THEN 'pair' || CAST(id // 8 AS VARCHAR) ELSE 'new' || CAST(id AS VARCHAR) END AS username,
+         CASE WHEN id % 30 = 0 THEN email WHEN id % 3 = 1 THEN CAST(id // 9 AS VARCHAR) || '@shared.example.com' ELSE CAST(id AS VARCHAR) || '@new.example.com' END AS email
+  FROM users),
+new AS (SELECT *, username IN (SELECT username FROM users) AS old_name, email IN (SELECT email FROM users) AS old_mail FROM asked),
+walk AS (
+  SELECT CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS names, CAST([] AS VARCHAR[]) AS mails, CAST(NULL AS BIGINT) AS ordinal, CAST(NULL AS VARCHAR) AS username, CAST(NULL AS VARCHAR) AS email, CAST(NULL AS VARCHAR) AS result
+  UNION ALL
+  SELECT n, CASE WHEN result = 'created' THEN list_append(names, username) ELSE names END, CASE WHEN result = 'created' THEN list_append(mails, email) ELSE mails END, ordinal, username, email, result
+  FROM (SELECT new.n, names, mails, new.ordinal, new.username, new.email,
+               CASE WHEN old_name OR list_contains(names, new.username) THEN 'username taken' WHEN old_mail OR list_contains(mails, new.email) THEN 'email taken' ELSE 'created' END AS result
+        FROM walk JOIN new ON new.n = walk.n + 1))"""
+
+
 def _photos(select: str) -> str:
     return f"WITH {_PHOTOS} {select}"
 
@@ -71,6 +88,10 @@ ORACLES: dict[str, str] = {
     "face_search_scoped": _found("1.3"),
     "face_search_literal": _found("1.3"),
     "face_search_default_threshold": _found("0.6"),
+    "face_search_stored": _found("1.3"),
+    "face_search_response": _faces("SELECT count(*) OVER () AS total_matches, id, original_file_name, upload_time, image_url FROM search_photos WHERE id IN (SELECT photo_id FROM pairs WHERE query_id = 0 AND distance < 1.3)"),
+    "face_search_response_row": _faces("""SELECT count(*) AS total_matches, coalesce(string_agg(CAST(id AS VARCHAR) || '|' || original_file_name || '|' || image_url, ',' ORDER BY id), '') AS photos
+      FROM search_photos WHERE id IN (SELECT photo_id FROM pairs WHERE query_id = 0 AND distance < 1.3)"""),
     "face_search_multi_query": _faces("SELECT DISTINCT query_id, photo_id FROM pairs WHERE distance < 1.3"),
     "face_search_envelope": _faces(f"SELECT total_matches FROM {_TOTAL}"),
     "face_search_message": _faces(f"SELECT 'Found ' || CAST(total_matches AS VARCHAR) || ' photo' || CASE WHEN total_matches <> 1 THEN 's' ELSE '' END AS message FROM {_TOTAL}"),
@@ -111,11 +132,17 @@ ORACLES: dict[str, str] = {
     "classify_errors": _photos("SELECT id, CASE WHEN contains(error_message, 'No face detected') THEN 'NO_FACE_DETECTED' ELSE 'FAILED' END AS status, error_message FROM photos WHERE error_message IS NOT NULL"),
     "current_status_from_log": _photos("""SELECT id AS photo_id, status, processing_started_at AS started_at, processed_time AS processed_at, error_message AS error FROM photos"""),
     "cascade_delete": _faces("SELECT id, photo_id FROM photo_faces WHERE photo_id NOT IN (SELECT id FROM search_photos WHERE status = 'PENDING')"),
+    "cascade_delete_users": _faces("SELECT id, photo_id FROM photo_faces WHERE photo_id % 10 % 2 = 1"),
     "access_code_collisions": _photos("SELECT substr(access_code, 1, 3) AS access_code, count(DISTINCT batch_id) AS batches FROM photos GROUP BY 1 HAVING count(DISTINCT batch_id) > 1"),
     "upload_validation": f"""WITH {_FILES},
       judged AS (SELECT request_id, bool_and(coalesce(lower(content_type) IN ('image/jpeg', 'image/png', 'image/jpg'), false) AND bytes <= 10485760) AND sum(bytes) <= 52428800 AS accepted,
                         count(*) AS total_files, count(*) FILTER (stored) AS n FROM files GROUP BY request_id)
       SELECT request_id, accepted, total_files, CASE WHEN accepted THEN n ELSE 0 END AS successful_uploads FROM judged""",
+    "upload_empty_requests": f"""WITH {_FILES},
+      judged AS (SELECT request_id, bool_and(coalesce(lower(content_type) IN ('image/jpeg', 'image/png', 'image/jpg'), false) AND bytes <= 10485760) AND sum(bytes) <= 52428800 AS accepted,
+                        count(*) AS total_files, count(*) FILTER (stored) AS n FROM files WHERE user_id % 2 = 1 GROUP BY request_id)
+      SELECT r.request_id, coalesce(accepted, false) AS accepted, coalesce(total_files, 0) AS total_files, CASE WHEN accepted THEN n ELSE 0 END AS successful_uploads
+      FROM (SELECT DISTINCT batch_id AS request_id FROM photos) r LEFT JOIN judged j ON r.request_id = j.request_id""",
     "upload_envelope": f"""WITH {_FILES} SELECT request_id, count(*) AS total_files, count(*) FILTER (stored) AS successful_uploads,
       max(batch_id) FILTER (stored) AS batch_id, max(access_code) FILTER (stored) AS access_code FROM files GROUP BY request_id""",
     "upload_insert": f"""WITH {_FILES} SELECT user_id, batch_id || '/' || file_id || '.jpg' AS file_path, name AS original_file_name, batch_id, access_code, 'PENDING' AS status, {NOW} AS upload_time FROM files WHERE stored""",
@@ -123,18 +150,22 @@ ORACLES: dict[str, str] = {
     "stored_path": f"WITH {_NAMES} SELECT id, path, '/images/' || path AS url, '/var/uploads/' || path AS absolute FROM paths",
     "access_code_derivation": _photos("SELECT DISTINCT batch_id, upper(substr(md5(batch_id), 1, 6)) AS access_code, 'temp_search_' || substr(md5(batch_id), 1, 8) AS scope FROM photos"),
     "access_code_normalize": _photos("SELECT id, upper(trim('  ' || lower(access_code) || ' ')) AS access_code FROM photos"),
-    "registration_conflicts": f"""WITH {_USERS},
-      new AS (SELECT id AS ordinal, CASE WHEN id % 20 = 0 THEN username WHEN id % 50 = 0 THEN 'twice' ELSE 'new' || CAST(id AS VARCHAR) END AS username,
-                     CASE WHEN id % 30 = 0 THEN email ELSE CAST(id AS VARCHAR) || '@new.example.com' END AS email FROM users WHERE id % 10 = 0)
-      SELECT ordinal, username, email,
-             CASE WHEN username IN (SELECT username FROM users) OR EXISTS (SELECT 1 FROM new o WHERE o.username = n.username AND o.ordinal < n.ordinal) THEN 'username taken'
-                  WHEN email IN (SELECT email FROM users) OR EXISTS (SELECT 1 FROM new o WHERE o.email = n.email AND o.ordinal < n.ordinal) THEN 'email taken' ELSE 'created' END AS result
-      FROM new n""",
+    "registration_conflicts": f"WITH RECURSIVE {_REGISTERED} SELECT ordinal, username, email, result FROM walk WHERE ordinal IS NOT NULL",
+    "registration_insert": f"WITH RECURSIVE {_REGISTERED} SELECT ordinal + 10000000 AS id, username, md5(CAST(ordinal AS VARCHAR)) AS password, email FROM walk WHERE result = 'created'",
     "user_by_username": f"WITH {_USERS} SELECT id, username, email FROM users WHERE username = 'Customer#000000007'",
     "user_by_email": f"WITH {_USERS} SELECT id, username, email FROM users WHERE email = 'customer#000000007@example.com'",
     "token_expiry": _photos(f"SELECT id, user_id AS subject, upload_time + INTERVAL 10 HOUR AS expires_at FROM photos WHERE upload_time + INTERVAL 10 HOUR >= {NOW}"),
+    "token_validity": f"WITH {_USERS}, {_PHOTOS} SELECT photos.id, username AS subject FROM photos JOIN users ON photos.user_id = users.id WHERE photos.id % 3 <> 0 AND upload_time + INTERVAL 10 HOUR >= {NOW}",
     "explode_faces": "SELECT CAST(floor(vec_id / 3) AS BIGINT) AS photo_id, vec_id % 3 AS face_index, CAST(len(embedding) AS INTEGER) AS components FROM embeddings",
     "response_text": _photos("""SELECT id, CASE WHEN id % 2 = 0 THEN error_message END AS payload, batch_id AS token, error_message || chr(9) AS trimmed, 'it''''s ' || batch_id AS escaped
       FROM photos WHERE error_message IS NOT NULL"""),
+    "first_face": _faces("""SELECT photo_id, CAST(len(min_by(face_vector, id)) AS INTEGER) AS components, CAST(round(min_by(face_vector, id)[1] * 1000000) AS BIGINT) AS first_millionths
+      FROM photo_faces WHERE face_vector IS NOT NULL GROUP BY photo_id"""),
+    "stale_rows": _photos(f"SELECT id AS photo_id, 'PENDING' AS status, CAST(NULL AS VARCHAR) AS error FROM photos WHERE status = 'PROCESSING' AND processing_started_at < {NOW} - INTERVAL 10 MINUTE"),
+    "stream_lease_expiry": _photos(f"SELECT id AS photo_id, CAST(3 AS BIGINT) AS seq, 'PENDING' AS status FROM photos WHERE status = 'PROCESSING' AND processing_started_at < {NOW} - INTERVAL 10 MINUTE"),
+    "stream_ingest_faces": """SELECT id AS photo_id, status, error, CASE WHEN status = 'PROCESSED' THEN true END AS in_order, CAST(CASE WHEN status = 'PROCESSED' THEN id % 5 ELSE 0 END AS BIGINT) AS faces
+      FROM (SELECT DISTINCT CAST(floor(vec_id / 3) AS BIGINT) AS id FROM embeddings),
+           (VALUES (0, 'FAILED', 'Could not load image'), (1, 'PROCESSED', NULL), (2, 'PROCESSED', NULL), (3, 'PROCESSED', NULL), (4, 'NO_FACE_DETECTED', 'No face detected in image')) AS outcome(rest, status, error)
+      WHERE id % 5 = rest""",
     "photo_json": _photos("""SELECT '{"id":' || CAST(id AS VARCHAR) || ',"batch_id":"' || batch_id || '","status":"' || status || '","shown":"' || strftime(upload_time, '%Y-%m-%d %H:%M:%S') || '"}' AS json FROM photos"""),
 }

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import shutil
-import tempfile
-import weakref
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,10 +10,11 @@ from pyspark.sql import functions as F
 from glimset.functions import text as X
 from glimset.functions import vectors as V
 from glimset.operators import batches, ingest, lifecycle, search
-from glimset.schemas import IMAGE_TYPES, TOKEN_MILLIS
+from glimset.schemas import IMAGE_TYPES, STATUS_LOG, TOKEN_MILLIS
 from glimset.sources import adapters as A
 from glimset.sources.files import as_json, image_stream
-from glimset.streaming import extract
+from glimset.sources.shared import put, removed, shared_path, written
+from glimset.streaming import extract, leases
 
 NOW = "2024-01-15 00:00:00"
 WIDE = 1.3
@@ -31,15 +28,14 @@ def long(c):
     return c.cast("long")
 
 
-def _scope(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return A.search_photos(s, d), A.photo_faces(s, d), A.vector_queries(s, d, 1)
+def _found(s: SparkSession, d: str, threshold: float = WIDE) -> DataFrame:
+    """The photos in the scope of photo 0 near vector 0: what a request with both finds."""
+    return search.matches(A.search_photos(s, d), A.photo_faces(s, d), *A.request(s, d), threshold, None)
 
 
 def face_search(s: SparkSession, d: str, threshold: float = WIDE) -> DataFrame:
-    """The flagship: photos in the scope of photo 0 near vector 0."""
-    photos, faces, queries = _scope(s, d)
-    hits = search.range_search(photos, faces, queries, threshold)
-    return search.result(photos.join(hits.select(F.col("photo_id").alias("id")), "id", "left_semi"))
+    """The flagship."""
+    return search.result(_found(s, d, threshold))
 
 
 def face_search_default_threshold(s: SparkSession, d: str) -> DataFrame:
@@ -47,17 +43,36 @@ def face_search_default_threshold(s: SparkSession, d: str) -> DataFrame:
 
 
 def face_search_literal(s: SparkSession, d: str) -> DataFrame:
-    """The same search with the vector and the code as values of the request."""
-    vector, code = A.vector_queries(s, d, 1).select("vector", "access_code").first()
-    return search.search(A.search_photos(s, d), A.photo_faces(s, d), vector, code, WIDE)
+    """The same search with the vector as it comes from an extractor: checked text of 64 components."""
+    vector, code = A.request(s, d)
+    asked = s.createDataFrame([(",".join(map(repr, vector)),)], "body string").select(V.parse_csv(F.col("body"), 64)).first()[0]
+    return search.search(A.search_photos(s, d), A.photo_faces(s, d), asked, code, WIDE, 64)
+
+
+def face_search_stored(s: SparkSession, d: str) -> DataFrame:
+    """The same search over faces that are stored by code."""
+    path = shared_path(s, "faces")
+    search.write_faces(A.photo_faces(s, d), A.search_photos(s, d), path)
+    return search.search(A.search_photos(s, d), search.read_faces(s, path), *A.request(s, d), WIDE, None)
 
 
 def face_search_multi_query(s: SparkSession, d: str) -> DataFrame:
-    return search.range_search(A.search_photos(s, d), A.photo_faces(s, d), A.vector_queries(s, d, 20), WIDE)
+    return search.range_search(A.search_photos(s, d), A.photo_faces(s, d), A.vector_queries(s, d), WIDE)
 
 
 def face_search_envelope(s: SparkSession, d: str) -> DataFrame:
-    return search.total_matches(face_search(s, d))
+    return search.total_matches(_found(s, d))
+
+
+def face_search_response(s: SparkSession, d: str) -> DataFrame:
+    """Count and photos, as rows."""
+    return search.response(_found(s, d))
+
+
+def face_search_response_row(s: SparkSession, d: str) -> DataFrame:
+    """Count and photos, as one row; the photos as text."""
+    photo = lambda p: F.concat_ws("|", p["id"].cast("string"), p["original_file_name"], p["image_url"])
+    return search.envelope(face_search(s, d)).select("total_matches", F.array_join(F.transform("photos", photo), ",").alias("photos"))
 
 
 def face_search_message(s: SparkSession, d: str) -> DataFrame:
@@ -73,7 +88,8 @@ def faces_per_photo(s: SparkSession, d: str) -> DataFrame:
 
 
 def distance_matrix_scoped(s: SparkSession, d: str) -> DataFrame:
-    found = search.distances(*_scope(s, d))
+    asked = A.vector_queries(s, d).filter("query_id = 0")
+    found = search.distances(A.search_photos(s, d), A.photo_faces(s, d), asked)
     return found.select("face_id", long(F.round(F.col("distance") * 1_000_000)).alias("distance_millionths"))
 
 
@@ -182,6 +198,14 @@ def cascade_delete(s: SparkSession, d: str) -> DataFrame:
     return lifecycle.without_photos(A.photo_faces(s, d), gone).select("id", "photo_id")
 
 
+def cascade_delete_users(s: SparkSession, d: str) -> DataFrame:
+    """The faces that are left when users go, and with them their photos."""
+    owned = A.search_photos(s, d).withColumn("user_id", F.col("id") % 10)
+    gone = owned.select((F.col("user_id")).alias("id")).filter("id % 2 = 0")
+    left = lifecycle.without_users(owned, gone)
+    return lifecycle.without_photos(A.photo_faces(s, d), owned.join(left.select("id"), "id", "left_anti")).select("id", "photo_id")
+
+
 def access_code_collisions(s: SparkSession, d: str) -> DataFrame:
     return batches.code_collisions(A.photos(s, d).withColumn("access_code", F.substring("access_code", 1, 3)))
 
@@ -199,6 +223,12 @@ def upload_validation(s: SparkSession, d: str) -> DataFrame:
     return ingest.validated(files(s, d))
 
 
+def upload_empty_requests(s: SparkSession, d: str) -> DataFrame:
+    """The batches as requests, of which those of even users come without files."""
+    asked = A.photos(s, d).select(F.col("batch_id").alias("request_id"))
+    return ingest.validated(files(s, d).filter("user_id % 2 = 1"), asked)
+
+
 def upload_envelope(s: SparkSession, d: str) -> DataFrame:
     return ingest.upload_envelope(files(s, d).filter("stored"), files(s, d))
 
@@ -231,10 +261,22 @@ def access_code_normalize(s: SparkSession, d: str) -> DataFrame:
     return A.photos(s, d).select("id", X.normalized_access_code(typed).alias("access_code"))
 
 
+def _new_accounts(s: SparkSession, d: str) -> DataFrame:
+    """An account for each user, some with a name or an address that is taken or asked for several times."""
+    k = F.col("id")
+    name = F.when(k % 20 == 0, F.col("username")).when(k % 4 == 1, F.concat(F.lit("pair"), F.floor(k / 8).cast("string"))).otherwise(F.concat(F.lit("new"), k.cast("string")))
+    mail = F.when(k % 30 == 0, F.col("email")).when(k % 3 == 1, F.concat(F.floor(k / 9).cast("string"), F.lit("@shared.example.com"))).otherwise(F.concat(k.cast("string"), F.lit("@new.example.com")))
+    return A.users(s, d).select(k.alias("ordinal"), name.alias("username"), mail.alias("email"))
+
+
 def registration_conflicts(s: SparkSession, d: str) -> DataFrame:
-    users = A.users(s, d)
-    new = users.filter("id % 10 = 0").select(F.col("id").alias("ordinal"), F.when(F.col("id") % 20 == 0, F.col("username")).when(F.col("id") % 50 == 0, F.lit("twice")).otherwise(F.concat(F.lit("new"), F.col("id").cast("string"))).alias("username"), F.when(F.col("id") % 30 == 0, F.col("email")).otherwise(F.concat(F.col("id").cast("string"), F.lit("@new.example.com"))).alias("email"))
-    return ingest.registrations(new, users)
+    return ingest.registrations(_new_accounts(s, d), A.users(s, d))
+
+
+def registration_insert(s: SparkSession, d: str) -> DataFrame:
+    """The users to append, with the digests that they came with."""
+    digests = _new_accounts(s, d).select("ordinal", F.md5(F.col("ordinal").cast("string")).alias("password"))
+    return ingest.new_users(registration_conflicts(s, d), digests, 10_000_000)
 
 
 def user_by_username(s: SparkSession, d: str) -> DataFrame:
@@ -250,6 +292,13 @@ def token_expiry(s: SparkSession, d: str) -> DataFrame:
     return ingest.unexpired(tokens, now(), TOKEN_MILLIS).select("id", "subject", "expires_at")
 
 
+def token_validity(s: SparkSession, d: str) -> DataFrame:
+    """Tokens with the name of their user, but on each third that of another."""
+    tokens = A.photos(s, d).join(A.users(s, d).select(F.col("id").alias("user_id"), "username"), "user_id")
+    tokens = tokens.select("id", "user_id", F.when(F.col("id") % 3 == 0, "someone").otherwise(F.col("username")).alias("subject"), F.col("upload_time").alias("issued_at"))
+    return ingest.valid_tokens(tokens, A.users(s, d), now(), TOKEN_MILLIS).select("id", "subject")
+
+
 def explode_faces(s: SparkSession, d: str) -> DataFrame:
     e = A.table(s, d, "embeddings")
     groups = e.groupBy(F.floor(F.col("vec_id") / 3).cast("long").alias("photo_id")).agg(F.sort_array(F.collect_list(F.struct("vec_id", "embedding"))).alias("v"))
@@ -268,29 +317,55 @@ def photo_json(s: SparkSession, d: str) -> DataFrame:
     return as_json(A.photos(s, d).select("id", "batch_id", "status", X.shown_time(F.col("upload_time")).alias("shown")))
 
 
+def first_face(s: SparkSession, d: str) -> DataFrame:
+    """The first face of each photo, of those that it has."""
+    own = A.photo_faces(s, d).filter("face_vector IS NOT NULL").groupBy("photo_id").agg(F.sort_array(F.collect_list(F.struct("id", "face_vector"))).alias("v"))
+    first = V.first_vector(F.col("v.face_vector"))
+    return own.select("photo_id", F.size(first).alias("components"), long(F.round(F.get(first, 0) * 1_000_000)).alias("first_millionths"))
+
+
 def stream_ingest_faces(s: SparkSession, d: str) -> DataFrame:
-    """Seven small files through the stream, in micro-batches of five and two; returns faces and errors by file."""
-    home = tempfile.mkdtemp(prefix="glimset-stream-")
-    os.makedirs(f"{home}/in")
-    for k, content in enumerate([b"\x01a", b"\x02b", b"\x03c", b"\x04d", b"!", b"\x05e", b"\x06f"]):
-        with open(f"{home}/in/{k}.jpg", "wb") as f:
-            f.write(content)
-    extract.start(image_stream(s, f"{home}/in"), extract.stand_in, f"{home}/faces", f"{home}/states", f"{home}/checkpoint", None).awaitTermination()
-    faces = s.read.parquet(f"{home}/faces").groupBy("path").agg(F.count(F.lit(1)).alias("faces"))
-    found = s.read.parquet(f"{home}/states").join(faces, "path", "left")
-    out = found.select(F.substring_index("path", "/", -1).alias("file"), "status", "error", F.coalesce("faces", F.lit(0)).cast("long").alias("faces"))
-    weakref.finalize(out, shutil.rmtree, home, ignore_errors=True)
+    """A small file for every photo that owns vectors, through the stream; what the log and the faces say afterwards."""
+    home = shared_path(s, "stream")
+    photos = A.search_photos(s, d).select("id", F.concat(F.lit("b"), (F.col("id") % 7).cast("string"), F.lit("/"), F.col("id").cast("string"), F.lit(".jpg")).alias("file_path"))
+    photos = written(photos, "stream-photos")
+    for row in photos.toLocalIterator():  # the files stand for those that users upload
+        put(s, f"{home}/in/{row.file_path}", (b"!\x01\x02\x03\x04"[row.id % 5 :][:1]) + str(row.id).encode())
+    extract.start(image_stream(s, f"{home}/in", 200), photos, extract.stand_in, f"{home}/faces", f"{home}/log", f"{home}/checkpoint", None).awaitTermination()
+    faces = s.read.schema("photo_id long, face_index int, face_vector array<double>").parquet(f"{home}/faces").groupBy("photo_id").agg(F.count(F.lit(1)).alias("faces"))
+    states = lifecycle.current(extract.read_log(s, f"{home}/log"))
+    out = states.join(faces, "photo_id", "left").select("photo_id", "status", "error", (F.col("started_at") <= F.col("processed_at")).alias("in_order"), F.coalesce("faces", F.lit(0)).cast("long").alias("faces"))
+    out = written(out, "stream-result")
+    removed(s, home)
     return out
 
 
+def stream_lease_expiry(s: SparkSession, d: str) -> DataFrame:
+    """The status log of all photos through the stream of leases, at the fixed moment."""
+    home = shared_path(s, "leases")
+    lifecycle.log_of(A.photos(s, d)).write.parquet(f"{home}/in")
+    moment = s.range(1).select(F.unix_micros(now().cast("timestamp")) / 1e6).first()[0]
+    found = leases.expired(s.readStream.schema(STATUS_LOG).parquet(f"{home}/in"), now=moment)
+    found.writeStream.option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).start(f"{home}/out", "parquet").awaitTermination()
+    out = written(s.read.schema(STATUS_LOG).parquet(f"{home}/out").select("photo_id", "seq", "status"), "leases-result")
+    removed(s, home)
+    return out
+
+
+def stale_rows(s: SparkSession, d: str) -> DataFrame:
+    """The same in the batch form."""
+    return lifecycle.stale_rows(lifecycle.log_of(A.photos(s, d)), now()).select("photo_id", "status", "error")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "face_search_scoped": face_search,
     **{f.__name__: f for f in (
-        face_search_default_threshold, face_search_literal, face_search_multi_query, face_search_envelope, face_search_message, faces_join_photos, faces_per_photo,
+        face_search_default_threshold, face_search_literal, face_search_stored, face_search_multi_query, face_search_envelope, face_search_response, face_search_response_row, face_search_message, faces_join_photos, faces_per_photo,
         distance_matrix_scoped, vector_csv_roundtrip, vector_quantized, batch_rollup, batch_status_histogram, my_batches_for_user, batch_status_label, distinct_batches,
         photos_by_batch, photos_by_status, photos_of_owner, pending_count, claim_pending, claim_pending_update, stale_photos, reset_stale, reset_stale_count,
         complete_photos, fail_photos, update_status, status_domain_check, classify_errors, current_status_from_log, cascade_delete, access_code_collisions,
         upload_validation, upload_envelope, upload_insert, file_extension, stored_path, access_code_derivation, access_code_normalize, registration_conflicts,
-        user_by_username, user_by_email, token_expiry, explode_faces, response_text, photo_json, stream_ingest_faces,
+        registration_insert, user_by_username, user_by_email, token_expiry, token_validity, explode_faces, first_face, response_text, photo_json,
+        upload_empty_requests, cascade_delete_users, stale_rows, stream_lease_expiry, stream_ingest_faces,
     )},
 }

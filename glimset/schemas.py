@@ -30,6 +30,8 @@ PHOTOS = _struct(
     processing_started_at=T.TimestampNTZType(), error_message=T.StringType(),
 )
 FACES = _struct(id=T.LongType(), photo_id=T.LongType(), face_vector=VECTOR)
+#: Faces stored by access code; scope is the code's beginning, and the folder.
+STORED_FACES = _struct(id=T.LongType(), photo_id=T.LongType(), face_vector=VECTOR, access_code=T.StringType(), scope=T.StringType())
 #: Changes of photos' states, appended and never updated; seq rises with time for each photo.
 STATUS_LOG = _struct(photo_id=T.LongType(), seq=T.LongType(), status=T.StringType(), started_at=T.TimestampNTZType(), processed_at=T.TimestampNTZType(), error=T.StringType())
 #: What an extractor returns for a file: a row a face, or one row with an error and no vector.

@@ -47,7 +47,14 @@ def photo_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.floor(F.col("vec_id") / 3).cast("long").alias("photo_id"), F.when(F.col("vec_id") % 50 != 49, F.col("embedding").cast("array<double>")).alias("face_vector"))
 
 
-def vector_queries(spark: SparkSession, sf_dir: str, first: int) -> DataFrame:
-    """The vectors with ids under ``first`` as queries, each in the scope of its own photo."""
-    own = table(spark, sf_dir, "embeddings").filter(F.col("vec_id") < first).select(F.col("vec_id").alias("query_id"), F.floor(F.col("vec_id") / 3).cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
+def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors whose ids 50 divides as queries, each in the scope of its own photo."""
+    own = table(spark, sf_dir, "embeddings").filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), F.floor(F.col("vec_id") / 3).cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
     return own.join(search_photos(spark, sf_dir).select("id", "access_code"), "id").select("query_id", "access_code", "vector")
+
+
+def request(spark: SparkSession, sf_dir: str) -> tuple[list[float], str]:
+    """What a search asks with: vector 0, and the access code of its photo."""
+    first = lambda c: F.min_by(c, "vec_id")
+    of = table(spark, sf_dir, "embeddings").filter("vec_id < 3").agg(first("embedding").cast("array<double>"), derived_access_code(first("label").cast("string")))
+    return tuple(of.first())

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-IMAGES = "*.{jpg,jpeg,png,JPG,JPEG,PNG}"
+#: In any case of letters.
+IMAGES = "*.{[jJ][pP][gG],[jJ][pP][eE][gG],[pP][nN][gG]}"
 
 
 def image_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -15,9 +16,9 @@ def image_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def image_stream(spark: SparkSession, folder: str, files_at_once: int = 5) -> DataFrame:
-    """The same as a stream of new files, at most so many a micro-batch."""
+    """The same as a stream of new files of the folder tree, at most so many a micro-batch."""
     schema = "path string, modificationTime timestamp, length long, content binary"
-    return spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", IMAGES).option("maxFilesPerTrigger", files_at_once).load(folder)
+    return spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", IMAGES).option("maxFilesPerTrigger", files_at_once).load(folder)
 
 
 def read_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:

@@ -1,40 +1,58 @@
-"""Leases on a stream: photos that stay in work too long are reported.
+"""Leases on a stream: photos that stay in work too long are sent back to waiting.
 
-``expired`` keeps, for each photo, the start of its work, and sets a processing-time timer for the
-end of the lease. A later state clears it; a timer that fires sends the photo back to waiting.
+``expired`` keeps, for each photo in work, the number and the start of its latest claim, and sets a
+processing-time timer for the end of the lease, which counts from that start. A later state clears it.
+When the lease has ended, the photo gets a row of the status log that says that it waits. As for the
+batch form (``lifecycle.stale_rows``), a claim without a start never ends.
+
+State is kept of photos in work only, two numbers each.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from glimset.schemas import LEASE_MINUTES, PENDING, PROCESSING
 
-EXPIRED = "photo_id long, status string"
-
-
-def on_change(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, minutes: int = LEASE_MINUTES) -> Iterator[pd.DataFrame]:
-    """One photo's turn: new states (photo_id, seq, status) or a timer."""
-    if state.hasTimedOut:
-        state.remove()
-        yield pd.DataFrame({"photo_id": [key[0]], "status": [PENDING]})
+EXPIRED = "photo_id long, seq long, status string"
+
+
+def on_change(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, minutes: float, now: float | None) -> Iterator[pd.DataFrame]:
+    """One photo's turn: new states (photo_id, seq, status, began in seconds) or a timer."""
+    moment = time.time() if now is None else now
+    seq, began = state.get if state.exists else (None, None)
+    if not state.hasTimedOut:
+        last = pd.concat(batches).sort_values("seq").iloc[-1]
+        if seq is not None and last.seq <= seq:
+            return
+        if last.status != PROCESSING or pd.isna(last.began):
+            if state.exists:
+                state.remove()
+            return
+        seq, began = int(last.seq), float(last.began)
+    left = began + minutes * 60 - moment
+    if left < 0:
+        if state.exists:
+            state.remove()
+        yield pd.DataFrame({"photo_id": [key[0]], "seq": [seq + 1], "status": [PENDING]})
         return
-    rows = pd.concat(batches)
-    last = rows.sort_values("seq").iloc[-1]
-    if state.exists and last.seq <= state.get[0]:
-        return
-    if last.status == PROCESSING:
-        state.update((int(last.seq),))
-        state.setTimeoutDuration(minutes * 60_000)
-    elif state.exists:
-        state.remove()
+    state.update((seq, began))
+    if now is None:
+        state.setTimeoutDuration(max(1, int(left * 1000) + 1))
+
 
+def expired(log: DataFrame, minutes: float = LEASE_MINUTES, now: float | None = None) -> DataFrame:
+    """Rows of the status log for photos of a streamed log whose lease ends without a later state.
 
-def expired(log: DataFrame, minutes: int = LEASE_MINUTES) -> DataFrame:
-    """(photo_id, PENDING) for photos of a streamed status log whose lease ends without a later state."""
-    turn = lambda key, batches, state: on_change(key, batches, state, minutes)
-    return log.select("photo_id", "seq", "status").groupBy("photo_id").applyInPandasWithState(turn, EXPIRED, "seq long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    ``now``: a fixed moment in seconds for a replay, which has no timers and so can end; else the clock."""
+    turn = lambda key, batches, state: on_change(key, batches, state, minutes, now)
+    rows = log.select("photo_id", "seq", "status", (F.unix_micros(F.col("started_at").cast("timestamp")) / 1e6).alias("began"))
+    found = rows.groupBy("photo_id").applyInPandasWithState(turn, EXPIRED, "seq long, began double", "append", GroupStateTimeout.ProcessingTimeTimeout if now is None else GroupStateTimeout.NoTimeout)
+    none = lambda kind: F.lit(None).cast(kind)
+    return found.select("photo_id", "seq", "status", none("timestamp_ntz").alias("started_at"), none("timestamp_ntz").alias("processed_at"), none("string").alias("error"))

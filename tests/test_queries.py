@@ -12,8 +12,8 @@ def test_query_matches_sql(spark, duck, sf_dir, name):
     same_rows(QUERIES[name](spark, sf_dir), duck.sql(ORACLES[name]))
 
 
-def test_every_query_has_sql_or_is_a_stream():
-    assert set(QUERIES) - set(ORACLES) == {"stream_ingest_faces"}
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_entry(spark):

@@ -1,43 +1,83 @@
 """Streams: replay, isolation of bad files, leases."""
 
+import datetime as dt
 import time
 
+from pyspark.sql import functions as F
+
 from glimset.sources.files import append_table, as_json, image_files, image_stream, read_table
-from glimset.schemas import FACES
+from glimset.operators import lifecycle
+from glimset.schemas import FACES, STATUS_LOG
 from glimset.streaming import extract, leases
 
 
+CONTENTS = [b"\x01a", b"\x02b", b"\x03c", b"\x04d", b"!", b"\x05e", b"\x06f"]
+
+
+def folder(tmp_path):
+    """Seven files in folders of batches, and their photos but the last's."""
+    for k, content in enumerate(CONTENTS):
+        (tmp_path / "in" / f"b{k % 2}").mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / f"b{k % 2}" / f"{k}.{'jpg Jpg PNG'.split()[k % 3]}").write_bytes(content)
+    (tmp_path / "in" / "b0" / "note.txt").write_bytes(b"no image")
+    return [(k, f"b{k % 2}/{k}.{'jpg Jpg PNG'.split()[k % 3]}") for k in range(6)]
+
+
 def test_stream_and_replay(spark, tmp_path):
-    (tmp_path / "in").mkdir()
-    for k, content in enumerate([b"\x01a", b"\x02b", b"\x03c", b"\x04d", b"!", b"\x05e", b"\x06f"]):
-        (tmp_path / "in" / f"{k}.jpg").write_bytes(content)
-    (tmp_path / "in" / "note.txt").write_bytes(b"no image")
-    faces, states = str(tmp_path / "faces"), str(tmp_path / "states")
-    query = extract.start(image_stream(spark, str(tmp_path / "in")), extract.stand_in, faces, states, str(tmp_path / "c"), None)
-    query.awaitTermination()
-    assert spark.read.parquet(states).select("batch").distinct().count() == 2  # five files and two
-    found = {r.path[-5:]: (r.status, r.error) for r in spark.read.parquet(states).collect()}
-    assert found["3.jpg"] == ("NO_FACE_DETECTED", "No face detected in image") and found["4.jpg"] == ("FAILED", "Could not load image")
-    assert sorted(found) == [f"{k}.jpg" for k in range(7)]
-    n = spark.read.parquet(faces).count()
-    assert n == 1 + 2 + 3 + 1 + 2
-    again = extract.extract(image_files(spark, str(tmp_path / "in")).filter("path NOT LIKE '%6.jpg' AND path NOT LIKE '%5.jpg'"), extract.stand_in)
+    photos = spark.createDataFrame(folder(tmp_path), "id long, file_path string")
+    faces, log = str(tmp_path / "faces"), str(tmp_path / "log")
+    extract.start(image_stream(spark, str(tmp_path / "in")), photos, extract.stand_in, faces, log, str(tmp_path / "c"), None).awaitTermination()
+    assert len([p for p in tmp_path.glob("faces/batch=*") if p.is_dir()]) == 2  # five files and two
+    found = {r.photo_id: r for r in lifecycle.current(extract.read_log(spark, log)).collect()}
+    assert sorted(found) == list(range(6))
+    assert (found[3].status, found[3].error) == ("NO_FACE_DETECTED", "No face detected in image") and (found[4].status, found[4].error) == ("FAILED", "Could not load image")
+    assert found[0].status == "PROCESSED" and found[0].started_at < found[0].processed_at and found[4].processed_at is None
+    assert extract.read_log(spark, log).count() == 12  # a claim and an outcome each
+    got = sorted((r.photo_id, r.face_index) for r in spark.read.parquet(faces).collect())
+    assert got == [(0, 0), (1, 0), (1, 1), (2, 0), (2, 1), (2, 2), (5, 0)]
+    assert [r.path[-8:] for r in spark.read.parquet(log + "-unmatched").collect()] == ["b0/6.jpg"]
+    again = extract.extract(image_files(spark, str(tmp_path / "in")).filter("path NOT LIKE '%6.jpg' AND path NOT LIKE '%5.PNG'"), extract.stand_in)
     for _ in range(2):
-        extract.write_batch(again, faces + "2", states + "2", 0)
-    assert spark.read.parquet(faces + "2").count() == 6
+        extract.write_batch(again, photos, faces + "2", log + "2", 0, F.current_timestamp())
+    assert spark.read.parquet(faces + "2").count() == 6 and extract.read_log(spark, log + "2").count() == 10
+
+
+def test_work_in_turns(spark, tmp_path):
+    rows = [*folder(tmp_path), (9, "b1/lost.jpg")]
+    photos = spark.createDataFrame(rows, "id long, file_path string")
+    at = lambda minute: F.lit(dt.datetime(2024, 1, 1, 12, minute, tzinfo=dt.timezone.utc))
+    log, faces = str(tmp_path / "log"), str(tmp_path / "faces")
+    new = photos.select(F.col("id").alias("photo_id"), F.lit("PENDING").alias("status"), F.lit(None).alias("error"))
+    lifecycle.log_rows(new, at(0)).write.parquet(f"{log}/batch=new")
+    # one photo is in work elsewhere, and its worker is lost
+    begun = new.filter("photo_id = 2").withColumn("status", F.lit("PROCESSING"))
+    lifecycle.log_rows(begun, at(1)).write.parquet(f"{log}/batch=other")
+    turn = lambda k, minute: extract.work_once(spark, photos, str(tmp_path / "in"), lambda c, m: m(c), faces, log, f"w{k}", at(minute), setup=lambda: extract.stand_in)
+    assert [turn(k, 2 + k) for k in range(3)] == [5, 1, 0]
+    found = {r.photo_id: r.status for r in lifecycle.current(extract.read_log(spark, log)).collect()}
+    assert found == {0: "PROCESSED", 1: "PROCESSED", 2: "PROCESSING", 3: "NO_FACE_DETECTED", 4: "FAILED", 5: "PROCESSED", 9: "FAILED"}
+    assert lifecycle.stale_rows(extract.read_log(spark, log), at(11)).count() == 0
+    lifecycle.stale_rows(extract.read_log(spark, log), at(12)).write.parquet(f"{log}/batch=lease")
+    assert turn(4, 13) == 1
+    assert {r.photo_id: r.status for r in lifecycle.current(extract.read_log(spark, log)).collect()}[2] == "PROCESSED"
+    assert sorted(r.photo_id for r in spark.read.parquet(faces).collect()) == [0, 1, 1, 2, 2, 2, 5]
 
 
 def test_leases(spark, tmp_path):
-    rows = [(1, 1, "PROCESSING"), (2, 1, "PROCESSING"), (2, 2, "PROCESSED")]
-    spark.createDataFrame(rows, "photo_id long, seq long, status string").write.parquet(str(tmp_path / "log"))
-    log = spark.readStream.schema("photo_id long, seq long, status string").parquet(str(tmp_path / "log"))
-    query = leases.expired(log, 0.02).writeStream.format("memory").queryName("leases").outputMode("append").start()
+    now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+    old = now - dt.timedelta(minutes=5)
+    rows = [(1, 1, "PROCESSING", now), (2, 1, "PROCESSING", old), (2, 2, "PROCESSED", None), (3, 7, "PROCESSING", old), (4, 1, "PROCESSING", None)]
+    spark.createDataFrame([(*r, None, None) for r in rows], STATUS_LOG).write.parquet(str(tmp_path / "log"))
+    log = spark.readStream.schema(STATUS_LOG).parquet(str(tmp_path / "log"))
+    query = leases.expired(log, 0.1).writeStream.format("memory").queryName("leases").outputMode("append").start()
     try:
-        for _ in range(60):
+        for _ in range(80):
             time.sleep(0.5)
-            if found := spark.sql("SELECT * FROM leases").collect():
+            if len(found := spark.sql("SELECT * FROM leases").collect()) > 1:
                 break
-        assert [tuple(r) for r in found] == [(1, "PENDING")]
+        # 3 at once, as its lease counts from the start of its work; 1 when its time is over; 2 is done; 4 has no start
+        assert sorted((r.photo_id, r.seq, r.status) for r in found) == [(1, 2, "PENDING"), (3, 8, "PENDING")]
+        assert spark.sql("SELECT * FROM leases").columns == STATUS_LOG.names
     finally:
         query.stop()
 
