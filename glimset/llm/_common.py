@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glimset.sources.shared import removed, shared_path, written
+
+__all__ = ["Scratch", "WORD_BYTES", "hash32", "held_out", "in_slices", "labelled_sample", "removed", "shared_path", "words_of", "written"]
+
 #: Maps A-Z to a-z and every ASCII byte but letters and digits to a space, so that
 #: ``bytes.split`` yields the words ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` of UTF-8 text.
 WORD_BYTES = bytes(
@@ -23,44 +24,6 @@ def words_of(raw: bytes | None) -> list[bytes]:
     return raw.translate(WORD_BYTES).split() if raw else []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A folder that the driver and all executors share.
-
-    It is the one in ``spark.checkpoint.dir``, else the context's checkpoint folder. Where neither
-    is set, a local master gets a temporary folder and a cluster one in the warehouse.
-    """
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not base:
-        if sc.master.startswith("local") and "cluster" not in sc.master:
-            base = tempfile.mkdtemp(prefix="glimset-")
-            atexit.register(shutil.rmtree, base, ignore_errors=True)
-        else:
-            base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_glimset_shared"
-        sc.setCheckpointDir(base)
-        base = sc.getCheckpointDir()
-    return base.rstrip("/")
-
-
-def shared_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """The rows of df, written to the shared folder and read again: lineage ends there."""
-    path = shared_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def removed(spark: SparkSession, path: str) -> None:
-    """Deletes a folder of the shared store."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 class Scratch:
     """A folder of the shared store for tables that are needed until a result is written.
 

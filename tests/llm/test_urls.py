@@ -22,25 +22,50 @@ HARD = ["http://", "x", None, "", "HTTP://WWW.Example.COM/en/", "a://b.net/es/x?
 def test_rules_and_verdicts(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     hard = spark.createDataFrame([(-k, u) for k, u in enumerate(HARD, 1)], "page_id long, url string")
-    df = pages.select("page_id", "url").union(hard).union(hard).withColumn("host", F.lit("clash"))
-    found = urlfilter.judge(df, trees=2).collect()
+    df = pages.select("page_id", "url").union(hard).union(hard).withColumns({"host": F.lit("clash"), "top": F.lit(1), "verdict": F.lit("x"), "url_length": F.lit(2)})
+    found = urlfilter.judge(df, keep=df.columns, trees=2).collect()
     urls = {r.page_id: r.url for r in df.collect()}
     assert len(found) == df.count()
     for r in found:
-        host, path, rule, verdict = by_hand(urls[r.page_id])
-        assert (r.host, r.path, r.rule) == (host, path, rule)
+        host, path, rule, verdict = by_hand(urls[r.row.page_id])
+        assert (r.host, r.path, r.rule) == (host, path, rule) and r.row.host == "clash" and r.row.verdict == "x"
         assert r.verdict == (verdict or ("block" if r.p_block >= 0.5 else "allow"))
 
 
+def test_many_rules_and_ties(spark):
+    rules = [(f"h{k}.example.org", "/", "block") for k in range(900)] + [("b.c", "/xy", "allow"), ("a.b.c", "/", "block"), ("b.c", "/xy", "block"), ("d.e", "/", "allow"), ("d.e", "/", "block"), ("", "/", "block")]
+    urls = {"u://x.h7.example.org/": ("h7.example.org/", "block"), "u://h900.example.org/": (None, None), "u://a.b.c/xyz": ("a.b.c/", "block"), "u://b.c/xyz": ("b.c/xy", "block"), "u://d.e/": ("d.e/", "block"), "u://c/xyz": (None, None)}
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")
+    found = urlfilter.judge(df, spark.createDataFrame(rules, "host string, path string, verdict string"), keep=["url"], trees=1).collect()
+    for r in found:
+        assert (r.rule, r.verdict if r.rule else None) == urls[r.row.url]
+
+
 def test_trees_judge_hosts_they_have_not_seen(spark):
     good = [f"http://{a}{b}.example.org/en/{n}" for n, (a, b) in enumerate((a, b) for a in ("news", "book", "garden", "river") for b in ("tree", "house", "line", "mark", "wood"))]
     bad = [f"http://{a}-casino-{n}.example.org/en/{n}?id={n}&a={n}" for n in range(20) for a in ("win", "top")]
+    labelled = spark.createDataFrame([(u, 0) for u in good] + [(u, 1) for u in bad], "url string, label int")
     new = [("http://quiet.example.org/en/3", "allow"), ("http://best-slots-77.example.org/en/5?id=7&a=5", "block")]
-    rows = [(k, u) for k, u in enumerate([*good * 4, *bad * 2, *[u for u, _ in new]])]
-    found = {r.page_id: r for r in urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string"), rules=[]).collect()}
-    for k, (_, verdict) in enumerate(new):
-        assert found[len(rows) - 2 + k].verdict == verdict
-    assert [r.verdict for r in found.values()].count("block") == 81
+    found = urlfilter.judge(spark.createDataFrame(new, "url string, page_id string"), [], labelled=labelled).collect()
+    assert [r.verdict for r in found] == [v for _, v in new] and all(r.rule is None for r in found)
+
+
+def test_held_out_hosts(spark):
+    """What rules say of hosts that the trees have not seen, and both verdicts among URLs without a rule."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    right, n, blocked = urlfilter.held_out_hosts(urlfilter.ruled(pages, urlfilter.rule_table(spark, urlfilter.RULES)))
+    assert n > 200 and right / n > 0.9 and 0 < blocked < n
+    free = [r.verdict for r in urlfilter.op5_urlfilter(spark, "/root/testdata/sf0.1").filter("rule IS NULL").collect()]
+    assert min(free.count("allow"), free.count("block")) > 100
+
+
+def test_suffix_rates_are_out_of_fold(spark):
+    """A host that alone has its last label tells nothing of it while it is learnt from."""
+    rows = [(f"http://a.x{k}/p/{k}", k % 2) for k in range(60)]
+    model = urlfilter.fit(spark.createDataFrame(rows, "url string, label int"), trees=3)
+    df = urlfilter.with_parts(spark.createDataFrame(rows, "url string, label int"), "url")
+    p = [r["__block"] for r in model.with_probability(df, "url").collect()]
+    assert max(p) < 0.9 and min(p) > 0.1
 
 
 def test_no_rows_and_one_label(spark):
