@@ -63,8 +63,28 @@ def test_language_odd_rows(spark, documents):
     assert langid.identify(docs, model).select("row.*").columns == docs.columns
     empty = langid.fit(docs.limit(0))
     assert {r.lang_pred for r in langid.identify(docs.select("doc_id", "text"), empty).collect()} == {"und"}
-    with pytest.raises(ValueError):
-        langid.fit(docs, max_langs=1)
+    assert langid.fit(docs, most_langs=1).langs == ["x"]  # the one with the most documents
+    assert {r.lang_pred for r in langid.identify(documents((1, "x " * 300_000), (2, "y" * 700_000)), model).collect()} <= {"x", "y"}
+
+
+def test_large_alphabets_stay_small():
+    """3,000 symbols and 40,000 of text for each of three languages; dense rows would take 500 MB each."""
+    rng = np.random.default_rng(8)
+    texts = {k: rng.integers(0x4E00 + 700 * n, 0x4E00 + 700 * n + 3000, 40_000).astype(np.uint32) for n, k in enumerate("abc")}
+    model = langid.Model(texts)
+    assert model.table.nbytes < 20_000_000
+    some = [texts[k][500:900] for k in "abc"]
+    own = model.phrases(model.coded(np.concatenate(some)), np.cumsum([400] * 3))
+    assert own.argmin(axis=1).tolist() == [0, 1, 2] and own.min(axis=1).tolist() == [1, 1, 1]
+
+
+def test_all_sampled_documents_teach(documents):
+    """Each document gives its share, from anywhere in it: one long text doesn't make a language."""
+    rows = [(k, chr(97 + k % 20) * 3000 if k else "z" * 900_000, "x", "s") for k in range(40)]
+    model = langid.fit(documents(*rows), docs_per_lang=40, symbols_per_lang=4000)
+    assert len(model.alphabet) == 22  # 20 letters, z and the space
+    tail = [(k, "a" * 5000 + "b" * 5000, "x", "s") for k in range(40)]
+    assert "".join(map(chr, langid.fit(documents(*tail)).alphabet)) == " ab"
 
 
 def test_forest_is_what_the_trees_say():
