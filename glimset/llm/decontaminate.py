@@ -1,15 +1,16 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-``build_index`` stores the postings of training tokens: the documents are taken in blocks of
+``build_index`` stores the postings of all training tokens: the documents are taken in blocks of
 bounded size, and each block is one row of a Parquet table with its own inverted index (term ->
 documents and word positions). As no block needs another, building and searching need no shuffle,
 and a passage that a third of all documents share only lengthens the lists of each block.
 
-``search`` looks up windows of test items. In each block it goes from the window's rarest term to
-the next rarest, shifts every list by the term's offset in the window and intersects: what is left
-are the places where the whole window occurs (exact phrase). With ``slack`` over 0 it also returns
-the windows whose first term occurs, and each other term at most ``slack`` words off its place from
-there (proximity). ``op4_decontaminate`` returns the exact part, ``op4_decontaminate_near`` both.
+``search`` looks up windows of test items. Windows are rows of term numbers; in each block, those of
+which all terms occur start from the places of their term that is rarest there, go on to the next rarest, shift
+every list by the term's offset in the window and intersect, all windows at once: what is left are the
+places where the whole window occurs (exact phrase). With ``slack`` over 0 it also returns the windows
+whose first term occurs, and each other term at most ``slack`` words off its place from there
+(proximity). ``op4_decontaminate`` returns the exact part, ``op4_decontaminate_near`` both.
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after A-Z are lower-cased. Defined cases: a null
 or empty text has no words, so it is neither hit nor a test item; items without an id are not
@@ -19,7 +20,7 @@ items nothing is hit; other columns are ignored; texts of any length are indexed
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +29,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from ._common import shared_path, words_of
+from ._common import Scratch, in_slices, words_of, written
 
 INDEX = "block string, doc_ids array<long>, n_words array<long>, terms array<binary>, starts array<int>, docs array<int>, positions array<int>"
 FOUND = "row_key string, doc_id long, n_words long, spans array<struct<start:long,end:long>>, near array<struct<start:long,end:long>>, items array<string>, near_items array<string>"
+#: Documents of a block at most, and the bits of a place in one.
+MOST_DOCS, PLACE_BITS = 512, 43
+#: Places that are looked at together.
+MOST_PLACES = 1 << 20
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
@@ -40,40 +45,32 @@ def _list(values: np.ndarray | list | pa.Array, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
-def index_block(doc_ids: list, texts: list[bytes | None], vocabulary: dict[bytes, int] | None, rows: pa.Array | None = None) -> pa.RecordBatch:
-    """One block's inverted index, terms ascending; with a vocabulary, only its terms have postings.
-    ``rows`` are stored beside it as they are."""
-    terms = {} if vocabulary is None else vocabulary
-    ids, docs, positions, n_words = [], [], [], []
-    for k, text in enumerate(texts):
+def index_block(doc_ids: list, texts: list[bytes | None], rows: pa.Array | None = None) -> pa.RecordBatch:
+    """One block's inverted index; ``rows`` are stored beside it as they are."""
+    number: dict[bytes, int] = {}
+    ids, n_words = [], []
+    for text in texts:
         words = words_of(text)
         n_words.append(len(words))
-        if vocabulary is None:
-            for w in words:
-                terms.setdefault(w, len(terms))
-        found = np.fromiter(map(terms.get, words, (-1 for _ in words)), np.int32, len(words))
-        at = np.flatnonzero(found >= 0)
-        ids.append(found[at])
-        positions.append(at.astype(np.int32))
-        docs.append(np.full(len(at), k, np.int32))
-    ids, docs, positions = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (ids, docs, positions))
-    names = list(terms)
-    order = np.argsort(ids, kind="stable")
-    used, starts = np.unique(ids[order], return_index=True)
+        ids.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words)))
+    docs = np.repeat(np.arange(len(texts), dtype=np.int32), n_words)
+    positions = np.concatenate([np.zeros(0, np.int32), *(np.arange(n, dtype=np.int32) for n in n_words)])
+    found = np.concatenate([np.zeros(0, np.int32), *ids])
+    order = np.argsort(found, kind="stable")
+    starts = np.searchsorted(found[order], np.arange(len(number) + 1)).astype(np.int32)
     block = f"{doc_ids[0]}-{len(doc_ids)}-{np.random.default_rng().integers(2**62)}"
-    columns = [pa.array([block]), _list(doc_ids, pa.int64()), _list(n_words, pa.int64()), _list([names[i] for i in used], pa.binary()), _list(np.append(starts, len(order)).astype(np.int32), pa.int32()), _list(docs[order], pa.int32()), _list(positions[order], pa.int32())]
+    columns = [pa.array([block]), _list(doc_ids, pa.int64()), _list(n_words, pa.int64()), _list(list(number), pa.binary()), _list(starts, pa.int32()), _list(docs[order], pa.int32()), _list(positions[order], pa.int32())]
     names = ["block", "doc_ids", "n_words", "terms", "starts", "docs", "positions"]
     if rows is not None:
         columns, names = [*columns, _list(rows, rows.type)], [*names, "rows"]
     return pa.RecordBatch.from_arrays(columns, names=names)
 
 
-def build_index(docs: DataFrame, path: str, vocabulary: list[bytes] | None = None, block_docs: int = 256, block_bytes: int = 1 << 20, carry: Sequence[str] = ()) -> DataFrame:
+def build_index(docs: DataFrame, path: str, block_docs: int = 256, block_bytes: int = 1 << 20, carry: Sequence[str] = ()) -> DataFrame:
     """Writes the index of (doc_id, text) to ``path`` and returns it.
 
-    ``vocabulary``: if the test terms are known, no other term's postings are stored, as none is
-    looked up. The columns ``carry`` are stored with each document. A block ends at ``block_docs`` documents or ``block_bytes`` of text."""
-    known = docs.sparkSession.sparkContext.broadcast(None if vocabulary is None else {w: i for i, w in enumerate(vocabulary)})
+    The columns ``carry`` are stored with each document. A block ends at ``block_docs`` documents (512 at most) or ``block_bytes`` of text."""
+    block_docs = min(block_docs, MOST_DOCS)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,7 +80,7 @@ def build_index(docs: DataFrame, path: str, vocabulary: list[bytes] | None = Non
                 if k == batch.num_rows or k > start and (k - start == block_docs or held + sizes[k] > block_bytes):
                     part = batch.slice(start, k - start)
                     if part.num_rows:
-                        yield index_block(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist(), known.value, part.column(2) if carry else None)
+                        yield index_block(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist(), part.column(2) if carry else None)
                     start, held = k, 0
                 if k < batch.num_rows:
                     held += sizes[k]
@@ -97,51 +94,96 @@ def build_index(docs: DataFrame, path: str, vocabulary: list[bytes] | None = Non
     return docs.sparkSession.read.schema(schema).parquet(path)
 
 
-def windows_of(items: list[tuple[str, bytes | None]], words: int) -> list[tuple[tuple[bytes, ...], list[str]]]:
-    """The distinct windows of the items, each with the ids of the items that hold it."""
-    found: dict[tuple[bytes, ...], set[str]] = {}
-    for item, text in items:
-        own = words_of(text)
-        for k in range(max(1, len(own) - words + 1) if own else 0):
-            found.setdefault(tuple(own[k : k + words]), set()).add(item)
-    return [(w, sorted(ids)) for w, ids in found.items()]
+class Windows:
+    """The distinct windows of some items, as rows of term numbers, by length; and the items that hold each.
+
+    What executors get of it is some 50 bytes a word of the items."""
+
+    def __init__(self, items: Iterable[tuple[str, bytes | None]], words: int):
+        number: dict[bytes, int] = {}
+        self.names: list[str] = []
+        found: dict[int, list[tuple[int, np.ndarray]]] = {}
+        for item, text in items:
+            own = np.fromiter((number.setdefault(w, len(number)) for w in words_of(text)), np.int32)
+            if len(own):
+                n = min(words, len(own))
+                found.setdefault(n, []).append((len(self.names), np.lib.stride_tricks.sliding_window_view(own, n)))
+                self.names.append(item)
+        self.vocabulary = pa.array(list(number), pa.binary())
+        self.groups = []
+        for parts in found.values():
+            terms, at = np.unique(np.concatenate([w for _, w in parts]), axis=0, return_inverse=True)
+            owner = np.repeat([k for k, _ in parts], [len(w) for _, w in parts])
+            order = np.argsort(at.ravel(), kind="stable")
+            self.groups.append((terms, np.searchsorted(at.ravel()[order], np.arange(len(terms) + 1)), owner[order]))
+
+    def items(self, group: int, window: int) -> list[str]:
+        _, starts, owner = self.groups[group]
+        return [self.names[k] for k in owner[starts[window] : starts[window + 1]]]
 
 
 class Block:
-    """Postings of one block; places are document << 33 plus 2**32 plus the position, so that a
-    position less an offset never reaches into another document."""
-
-    def __init__(self, terms: list[bytes], starts: np.ndarray, docs: np.ndarray, positions: np.ndarray):
-        self.terms = {t: k for k, t in enumerate(terms)}
-        self.starts, self.places = starts, (docs.astype(np.int64) << 33) + (1 << 32) + positions
-
-    def postings(self, term: int) -> np.ndarray:
-        return self.places[self.starts[term] : self.starts[term + 1]]
-
-    def phrase(self, window: tuple[bytes, ...], slack: int = 0) -> tuple[np.ndarray, np.ndarray]:
-        """Places where the window starts: of the exact phrase, and of those that need the slack."""
-        terms = [self.terms.get(w) for w in window]
-        if None in terms:
-            return self.places[:0], self.places[:0]
-        rarest = sorted(range(len(terms)), key=lambda k: self.starts[terms[k] + 1] - self.starts[terms[k]])
-        exact = near = self.postings(terms[rarest[0]]) - rarest[0]
-        if slack:  # shifts count from the first term: from the rarest, they would depend on the block
-            first = self.postings(terms[0])
-            near = np.unique(near[:, None] + np.arange(-slack, slack + 1))
-            near = near[first[np.minimum(np.searchsorted(first, near), len(first) - 1)] == near]
-        for k in rarest[1:]:
-            if not len(near):
+    """Postings of one block, of the terms that the vocabulary has. A place is document << 33 plus 2**32
+    plus the position, so that a position less an offset never reaches into another document; keys
+    are places under the term's rank, and ascend."""
+
+    def __init__(self, numbers: np.ndarray, starts: np.ndarray, docs: np.ndarray, positions: np.ndarray, vocabulary: int):
+        """``numbers``: for each term of the block, its number in the vocabulary, or -1."""
+        own = np.flatnonzero(numbers >= 0)
+        n = starts[own + 1] - starts[own]
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[own], n)
+        self.rank = np.full(vocabulary, -1, np.int64)
+        self.rank[numbers[own]] = np.arange(len(own))
+        self.n, self.first = n.astype(np.int64), np.cumsum(n) - n
+        self.places = (docs[at].astype(np.int64) << 33) + (1 << 32) + positions[at]
+        self.keys = (np.repeat(np.arange(len(own), dtype=np.int64), n) << PLACE_BITS) + self.places
+
+    def near(self, rank: np.ndarray, place: np.ndarray, slack: int = 0) -> np.ndarray:
+        """Whether the term of each rank occurs at the place, or up to ``slack`` words off it."""
+        low = (rank << PLACE_BITS) + place - slack
+        next_ = self.keys[np.minimum(np.searchsorted(self.keys, low), len(self.keys) - 1)]
+        return (next_ >= low) & (next_ <= low + 2 * slack)
+
+    def phrases(self, terms: np.ndarray, slack: int = 0) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """(window, place where it starts): of the exact phrases, and of those that need the slack."""
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        ranks = self.rank[terms]
+        windows = np.flatnonzero((ranks >= 0).all(axis=1))
+        if not len(windows):
+            return none, none
+        ranks = ranks[windows]
+        order = np.argsort(self.n[ranks], axis=1, kind="stable")
+        rarest = ranks[np.arange(len(ranks)), order[:, 0]]
+        exact, near = [none], [none]
+        ends = np.cumsum(self.n[rarest])
+        for a, b in in_slices(self.n[rarest].tolist(), MOST_PLACES):  # so many places at once
+            n = self.n[rarest[a:b]]
+            row = np.repeat(np.arange(a, b), n)
+            place = self.places[np.arange(len(row)) - np.repeat(ends[a:b] - n - (ends[a] - n[0]), n) + np.repeat(self.first[rarest[a:b]], n)] - order[row, 0]
+            found = self._kept(ranks, order, row, place, 0)
+            exact.append((windows[found[0]], found[1]))
+            if slack:  # shifts count from the first term: from the rarest, they would depend on the block
+                row, place = np.repeat(row, 2 * slack + 1), (place[:, None] + np.arange(-slack, slack + 1)).ravel()
+                on = self.near(ranks[row, 0], place)
+                row, place = np.unique(np.stack([row[on], place[on]]), axis=1)
+                found = self._kept(ranks, order, row, place, slack)
+                near.append((windows[found[0]], found[1]))
+        exact, near = (tuple(np.concatenate(x) for x in zip(*found, strict=True)) for found in (exact, near))
+        if slack:
+            known = set(zip(*(x.tolist() for x in exact), strict=True))
+            other = np.array([p not in known for p in zip(*(x.tolist() for x in near), strict=True)], bool)
+            near = near[0][other], near[1][other]
+        return exact, near
+
+    def _kept(self, ranks: np.ndarray, order: np.ndarray, row: np.ndarray, place: np.ndarray, slack: int) -> tuple[np.ndarray, np.ndarray]:
+        """The starts around which all terms are, from the rarest to the most frequent."""
+        for k in range(0 if slack else 1, order.shape[1]):
+            if not len(row):
                 break
-            others = self.postings(terms[k]) - k
-            at = np.searchsorted(others, exact)
-            exact = exact[others[np.minimum(at, len(others) - 1)] == exact]
-            if slack:
-                at = np.searchsorted(others, near - slack)
-                near = near[others[np.minimum(at, len(others) - 1)] - near <= slack] if len(others) else near[:0]
-                near = near[others[np.minimum(np.searchsorted(others, near - slack), len(others) - 1)] >= near - slack]
-            else:
-                near = exact
-        return exact, (np.setdiff1d(near, exact, assume_unique=True) if slack else near[:0])
+            offset = order[row, k]
+            on = self.near(ranks[row, offset], place + offset, slack)
+            row, place = row[on], place[on]
+        return row, place
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[dict]:
@@ -154,13 +196,13 @@ def _merged(spans: list[tuple[int, int]]) -> list[dict]:
     return out
 
 
-def search(index: DataFrame, items: DataFrame, words: int = 10, slack: int = 0, chunk_bytes: int = 32 << 20) -> DataFrame:
+def search(index: DataFrame, items: DataFrame, words: int = 10, slack: int = 0, chunk_bytes: int = 4 << 20) -> DataFrame:
     """One row a document: doc_id, n_words, spans (word ranges that exact windows cover), near (the
     same for proximity matches that aren't exact), items and near_items (ids as sorted strings), and
     row (a struct of the carried columns) if the index carries any.
 
-    The items go to the executors in chunks of about ``chunk_bytes``, so that what is broadcast
-    has a bound; each chunk is one pass over the index."""
+    The items go to the executors in chunks of about ``chunk_bytes`` (and one item at least), so that what is
+    broadcast has a bound, some ten times that; each chunk is one pass over the index."""
     sc = index.sparkSession.sparkContext
     asked = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text")).filter("item_id IS NOT NULL")
     total = asked.agg(F.coalesce(F.sum(F.length("text") + 16), F.lit(0))).first()[0]
@@ -172,13 +214,16 @@ def search(index: DataFrame, items: DataFrame, words: int = 10, slack: int = 0,
 
     def chunk(k: int) -> DataFrame:
         part = asked.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(chunks)) == k)
-        windows = sc.broadcast(windows_of([(r.item_id, None if r.text is None else bytes(r.text)) for r in part.toLocalIterator()], words))
+        windows = sc.broadcast(Windows(((r.item_id, None if r.text is None else bytes(r.text)) for r in part.toLocalIterator()), words))
 
         def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = windows.value
             for batch in batches:
                 for r in range(batch.num_rows):
                     block, doc_ids, n_words, terms, *rest = (batch.column(c)[r] for c in range(7))
-                    out = found_in(block.as_py(), doc_ids.as_py(), n_words.as_py(), Block(terms.as_py(), *(x.values.to_numpy() for x in rest)), windows.value, words, slack)
+                    numbers = np.asarray(pc.fill_null(pc.index_in(terms.values, known.vocabulary), -1), dtype=np.int64)
+                    postings = Block(numbers, *(x.values.to_numpy() for x in rest), len(known.vocabulary))
+                    out = found_in(block.as_py(), doc_ids.values, n_words.values, postings, known, slack)
                     yield out.append_column("row", batch.column(7)[r].values) if carried else out
 
         return index.mapInArrow(look, schema)
@@ -201,34 +246,32 @@ def _sql_merged(spans: str):
                        ELSE concat(a, array(x)) END)""")
 
 
-def found_in(block: str, doc_ids: list, n_words: list, postings: Block, windows: list, words: int, slack: int) -> pa.RecordBatch:
-    n = len(doc_ids)
+def found_in(block: str, doc_ids: pa.Array, n_words: pa.Array, postings: Block, windows: Windows, slack: int) -> pa.RecordBatch:
+    n, sizes = len(doc_ids), n_words.to_numpy()
     spans: list[list] = [[] for _ in range(2 * n)]
     items: list[set] = [set() for _ in range(2 * n)]
-    for window, ids in windows:
-        for kind, places in enumerate(postings.phrase(window, slack)):
-            for place in places.tolist():
-                doc, at = place >> 33, max(0, (place & 0x1FFFFFFFF) - (1 << 32))
-                spans[kind * n + doc].append((at, min(at + len(window), n_words[doc])))
-                items[kind * n + doc].update(ids)
+    for group, (terms, _, _) in enumerate(windows.groups):
+        for kind, (window, place) in enumerate(postings.phrases(terms, slack)):
+            doc, at = place >> 33, np.maximum(0, (place & 0x1FFFFFFFF) - (1 << 32))
+            end = np.minimum(at + terms.shape[1], sizes[doc])
+            for w, d, a, e in zip(window.tolist(), doc.tolist(), at.tolist(), end.tolist(), strict=True):
+                spans[kind * n + d].append((a, e))
+                items[kind * n + d].update(windows.items(group, w))
     merged = [_merged(x) for x in spans]
     named = [sorted(x) for x in items]
-    columns = [pa.array([f"{block}-{k}" for k in range(n)]), pa.array(doc_ids, pa.int64()), pa.array(n_words, pa.int64()), *(pa.array(merged[k : k + n], SPANS) for k in (0, n)), *(pa.array(named[k : k + n], pa.list_(pa.string())) for k in (0, n))]
+    columns = [pa.array([f"{block}-{k}" for k in range(n)]), doc_ids, n_words, *(pa.array(merged[k : k + n], SPANS) for k in (0, n)), *(pa.array(named[k : k + n], pa.list_(pa.string())) for k in (0, n))]
     return pa.RecordBatch.from_arrays(columns, names=["row_key", "doc_id", "n_words", "spans", "near", "items", "near_items"])
 
 
-def contamination(docs: DataFrame, items: DataFrame, words: int = 10, slack: int = 0, vocabulary_bytes: int = 64 << 20, index_path: str | None = None, carry: Sequence[str] = ()) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, words: int = 10, slack: int = 0, index_path: str | None = None, carry: Sequence[str] = ()) -> DataFrame:
     """Indexes the documents and searches the items' windows in them; the columns ``carry`` come along.
 
-    The index goes to ``index_path``, else to the shared folder, and is read when the result is.
-    The stored postings are restricted to the items' terms if the items have at most
-    ``vocabulary_bytes`` of text, else all are stored."""
-    spark = docs.sparkSession
-    texts = items.filter("item_id IS NOT NULL").select(F.col("text").cast("binary").alias("text"))
-    known = None
-    if texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] <= vocabulary_bytes:
-        known = sorted({w for r in texts.toLocalIterator() if r.text for w in words_of(bytes(r.text))})
-    return search(build_index(docs, index_path or shared_path(spark, "postings"), known, carry=carry), items, words, slack)
+    The index stays at ``index_path`` for other items; without a path it is made in the shared folder and
+    removed when the result has been written there."""
+    if index_path:
+        return search(build_index(docs, index_path, carry=carry), items, words, slack)
+    with Scratch(docs.sparkSession, "postings") as scratch:
+        return written(search(build_index(docs, f"{scratch.path}/index", carry=carry), items, words, slack), "contamination")
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

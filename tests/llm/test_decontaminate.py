@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 from glimset.llm import decontaminate as d
 from tests.conftest import same_rows
@@ -43,7 +44,7 @@ def test_brute_force_in_chunks_and_blocks(spark, documents, tmp_path):
     some = lambda n: " ".join(rng.choice("aBcdé") for _ in range(n))
     items = [(k, some(rng.choice([2, 5, 12]))) for k in range(12)]
     docs = [(k, f"{some(30)}, {items[k % 12][1]}! {some(20)}") for k in range(40)]
-    index = d.build_index(documents(*docs), str(tmp_path / "i"), None, block_docs=7, block_bytes=900)
+    index = d.build_index(documents(*docs), str(tmp_path / "i"), block_docs=7, block_bytes=900)
     assert index.count() > 6
     asked = spark.createDataFrame(items, "item_id long, text string")
     for chunk in (1 << 20, 64):
@@ -102,3 +103,33 @@ def test_near_query(spark, tmp_path):
     assert {r.doc_id: (r.n_near, r.near_items) for r in got} == {i: (n, ",".join(x)) for i, (n, x) in want.items()}
     assert {r.doc_id: r.n_hit for r in got} == {i: x[1] for i, x in exact.items()}
     assert sum(r.n_near > 0 and not r.contaminated for r in got) > 3
+
+
+def test_index_serves_other_items(spark, documents, tmp_path):
+    """The index holds all tokens: a second benchmark is found in it as well."""
+    docs = [(1, "one two three four"), (2, "five six seven")]
+    path = str(tmp_path / "index")
+    d.contamination(documents(*docs), spark.createDataFrame([(1, "two three")], "item_id long, text string"), index_path=path).collect()
+    index = spark.read.parquet(path)
+    found = d.search(index, spark.createDataFrame([(9, "six seven")], "item_id long, text string")).collect()
+    assert {r.doc_id: r["items"] for r in found} == {1: [], 2: ["9"]}
+
+
+def test_larger_benchmarks_cost_little():
+    """Indexing and searching a block with a benchmark 100 times as large takes less than 10 times as long."""
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choice("abcdefghijklmno") for _ in range(4)) for _ in range(20_000)]
+    texts = [" ".join(rng.choices(vocabulary, k=600)).encode() for _ in range(256)]
+    took = []
+    for n in (20, 2000):
+        known = d.Windows([(str(k), " ".join(rng.choices(vocabulary, k=150)).encode()) for k in range(n)], 10)
+        best = 9e9
+        for _ in range(5):
+            began = time.perf_counter()
+            batch = d.index_block(list(range(256)), texts)
+            numbers = d.np.asarray(d.pc.fill_null(d.pc.index_in(batch.column(3)[0].values, known.vocabulary), -1), dtype=d.np.int64)
+            block = d.Block(numbers, *(batch.column(c)[0].values.to_numpy() for c in (4, 5, 6)), len(known.vocabulary))
+            d.found_in("b", batch.column(1)[0].values, batch.column(2)[0].values, block, known, 0)
+            best = min(best, time.perf_counter() - began)
+        took.append(best)
+    assert took[1] < 10 * took[0], took
