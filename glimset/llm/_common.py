@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glimset.sources.shared import removed, shared_path, written
+from glimset.sources.shared import removed, shared_path, write_table, written
 
 __all__ = ["Scratch", "WORD_BYTES", "hash32", "held_out", "in_slices", "labelled_sample", "removed", "shared_path", "words_of", "written"]
 
@@ -40,9 +40,7 @@ class Scratch:
         removed(self.spark, self.path)
 
     def written(self, df: DataFrame, label: str) -> DataFrame:
-        path = f"{self.path}/{label}-{uuid.uuid4().hex[:8]}"
-        df.write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return write_table(df, f"{self.path}/{label}-{uuid.uuid4().hex[:8]}")
 
 
 def hash32(value: Column) -> Column:
