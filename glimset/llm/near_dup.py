@@ -8,21 +8,23 @@ a register keeps its earliest point. As all is a function of shingle, octave and
 two documents agree in a register with the probability of their weighted Jaccard similarity. Points
 are drawn only up to the time by which all registers are likely filled (and on, where they aren't).
 
-Bands of ``ROWS`` registers deal documents into buckets. Every member of a bucket is compared with
-its pivot, the bucket's smallest id, by exact multiset overlap: a hot bucket makes as many pairs as
-it has members. Pairs of members that are both linked to the pivot need no look: they are in one
-class. The rest is checked exactly too, but without making pairs: members that aren't in their
+Exact copies are one text from the start, whatever their number and their ids; texts get numbers, and all
+that follows is about texts. Bands of some registers deal them into buckets: as many registers a band as the
+threshold allows for a chance of ``MISSED`` at most that a pair at the threshold meets in no bucket. Every member
+of a bucket is compared with its pivot, the bucket's smallest number, by exact multiset overlap: a hot bucket
+makes as many pairs as it has members. Pairs of members that are both linked to the pivot need no look: they
+are in one class. The rest is checked exactly too, but without making pairs: members that aren't in their
 pivot's class are compared with all members that have this pivot, in cells of bounded blocks, from
 which only links come back. Distances are a metric, so that pairs whose distances to the pivot
 differ by more than 1 - threshold are skipped. The links' components are the classes.
 
 The number of such comparisons is (members outside of the pivot's class) x (members), for each
 pivot: small for families that hold together, up to the square of the family for one that spreads
-over the threshold. Links are missed only where no band agrees: at the threshold 3 in a million.
+over the threshold. Links are missed only where no band agrees: at a threshold of 0.8, 3 in a million.
 
-Exact copies are one text from the start, whatever their number. Defined cases: texts without words
-are only equal to exact copies; a null text is a class of its own; rows of one id are one document;
-a row without an id has no class; other columns are ignored; an empty table gives no rows.
+Defined cases: every row is a document, also where ids repeat or are null; texts without words are only equal
+to exact copies; a null text is a class of its own; a class has the smallest id among its rows, null if none has
+one; very long texts are taken whole, in slices; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,20 +35,30 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import Scratch, in_slices, words_of, written
 
 SHINGLE, THRESHOLD = 5, 0.8
-REGISTERS, ROWS = 160, 5
+REGISTERS, MISSED = 160, 1e-4
 SLICE_BYTES = 4 << 20
 BLOCK_DOCS = 256
-#: Ids that are broadcast at most: 16 MB.
-FEW_IDS = 1_000_000
+#: Texts' hashes and numbers that are broadcast at most: 40 MB.
+FEW_TEXTS = 400_000
+#: Processes, or postings, that are looked at together.
+SLICE = 1 << 20
+#: Texts whose signature a task remembers to have drawn.
+MOST_SEEN = 200_000
 _ODD, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
 
+def rows_for(threshold: float, registers: int = REGISTERS, missed: float = MISSED) -> int:
+    """The most registers a band at which a pair at the threshold meets in no band with a chance of ``missed`` at most; 1 if none does."""
+    fits = [r for r in range(1, registers + 1) if registers % r == 0 and (1 - threshold**r) ** (registers // r) <= missed]
+    return max(fits, default=1)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Scrambles 64-bit integers one to one."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -92,23 +104,25 @@ def signatures(bags: list[tuple[np.ndarray, np.ndarray]], registers: int = REGIS
     horizon = (np.log(m) + 5) / np.maximum(weight, 1)
     pending = weight > 0
     while pending.any():
-        at = np.flatnonzero(pending[doc])
-        t, point = np.zeros(len(at)), 0
-        while len(at):
-            point += 1
-            draw = mixed(seed[at] + np.uint64(point * int(_ODD) & 0xFFFFFFFFFFFFFFFF))
-            t = t - np.log(((draw >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / (width[at] * m)
-            on = t < horizon[doc[at]]
-            at, t, draw = at[on], t[on], mixed(draw[on] ^ _STEP)
-            inside = ((draw & np.uint64(0xFFFFFFFF)).astype(np.float64) * 2.0**-32 < reach[at]).nonzero()[0]
-            register = (((draw[inside] >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)).astype(np.int64)
-            np.minimum.at(times, doc[at[inside]] * m + register, t[inside])
+        everyone = np.flatnonzero(pending[doc])
+        for first in range(0, len(everyone), SLICE):
+            at = everyone[first : first + SLICE]
+            t, point = np.zeros(len(at)), 0
+            while len(at):
+                point += 1
+                draw = mixed(seed[at] + np.uint64(point * int(_ODD) & 0xFFFFFFFFFFFFFFFF))
+                t = t - np.log(((draw >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / (width[at] * m)
+                on = t < horizon[doc[at]]
+                at, t, draw = at[on], t[on], mixed(draw[on] ^ _STEP)
+                inside = ((draw & np.uint64(0xFFFFFFFF)).astype(np.float64) * 2.0**-32 < reach[at]).nonzero()[0]
+                register = (((draw[inside] >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)).astype(np.int64)
+                np.minimum.at(times, doc[at[inside]] * m + register, t[inside])
         pending &= np.isinf(times.reshape(n, m)).any(axis=1)
         horizon[pending] *= 2
     return times.reshape(n, m)
 
 
-def bands_of(times: np.ndarray, rows: int = ROWS) -> np.ndarray:
+def bands_of(times: np.ndarray, rows: int) -> np.ndarray:
     """A bucket's key by document and band."""
     n, m = times.shape
     bits = times.view(np.uint64).reshape(n, m // rows, rows)
@@ -122,14 +136,27 @@ def _raw(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = batch.column(2)
-        for start, stop in in_slices(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), SLICE_BYTES):
-            bags = [shingles(t) for t in _raw(texts[start:stop])]
-            keys = bands_of(signatures(bags))
-            found = pa.array([k if len(b[0]) else [] for k, b in zip(keys, bags, strict=True)], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.slice(start, stop - start).columns[:2], found], names=["id", "copy", "bands"])
+def _sketch(rows: int):
+    """From (id, copy, text) to (id, copy, bands): the buckets' keys with the first row of each text in a task, null with its copies."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[str] = set()
+        for batch in batches:
+            copies, new = batch.column(1).to_pylist(), []
+            for c in copies:
+                new.append(c is not None and c not in seen)
+                seen.add(c)
+            if len(seen) > MOST_SEEN:
+                seen.clear()
+            texts, out = batch.column(2), []
+            for start, stop in in_slices(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), SLICE_BYTES):
+                which = [k for k in range(start, stop) if new[k]]
+                bags = [shingles(t) for t in _raw(texts.take(pa.array(which, pa.int64())))]
+                keys = dict(zip(which, zip(bags, bands_of(signatures(bags), rows), strict=True), strict=True)) if bags else {}
+                out += [None if k not in keys else keys[k][1] if len(keys[k][0][0]) else [] for k in range(start, stop)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.list_(pa.int64()))], names=["id", "copy", "bands"])
+
+    return run
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,22 +188,25 @@ def block_links(left: list[tuple], right: list[tuple], threshold: float = THRESH
         if not ((classes != of) & (np.abs(away - distance) <= 1 - threshold + 1e-9)).any():
             continue
         own, times = shingles(text)
-        first, last = np.searchsorted(names, own, "left"), np.searchsorted(names, own, "right")
-        many = last - first
-        at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first, many)
-        both = np.bincount(owner[at], np.minimum(counts[at], np.repeat(times, many)), len(bags))
+        firsts, lasts = np.searchsorted(names, own, "left"), np.searchsorted(names, own, "right")
+        both = np.zeros(len(bags))
+        for start, stop in in_slices((lasts - firsts).tolist(), SLICE):
+            first, many = firsts[start:stop], (lasts - firsts)[start:stop]
+            at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first, many)
+            both += np.bincount(owner[at], np.minimum(counts[at], np.repeat(times[start:stop], many)), len(bags))
         linked = (both >= threshold * (weights + times.sum() - both)) & (both > 0) & (classes != of)
         found += [(a, x) for x in ids[linked].tolist()]
     return found
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(id, class): the smallest id that is connected to each id of ``edges`` (a, b).
 
     Turns of large-star and small-star: each moves neighbours of a vertex to the smallest of them,
     until the edges are stars. A vertex is never collected with its neighbours; its minimum is
-    aggregated and joined back to its edges."""
-    links = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct().checkpoint()
+    aggregated and joined back to its edges. The turns grow with the logarithm of the longest chain."""
+    kept = (lambda df: scratch.written(df, "turn")) if scratch else (lambda df: written(df, "components"))
+    links = kept(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct())
 
     def are_stars() -> bool:
         """Whether each vertex hangs on one other, on which nothing but such vertices hang."""
@@ -186,55 +216,60 @@ def components(edges: DataFrame) -> DataFrame:
 
     while not are_stars():
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).checkpoint()
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct().checkpoint()
-        least = large.groupBy("u").agg(F.min("v").alias("m")).checkpoint()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = kept(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct())
+        least = kept(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        links = small.union(least.select("u", F.col("m").alias("v"))).distinct().checkpoint()
+        links = kept(small.union(least.select("u", F.col("m").alias("v"))).distinct())
     return links.select(F.col("u").alias("id"), F.col("v").alias("class")).union(links.select(F.col("v").alias("id"), F.col("v").alias("class")).distinct())
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, class_id) of every row of docs (doc_id, text); class_id is the class's smallest id."""
+    """One row for each of docs (doc_id, text): doc_id, class_id (the class's smallest id), copy (the text's MD5, null
+    for null texts) and keep: whether this is the text, with the id, that stands for its class. Rows that repeat a
+    kept id and text are all marked."""
     with Scratch(docs.sparkSession, "near") as scratch:
         return written(_classes(docs, threshold, scratch), "near-dup")
 
 
+def copy_of(text: Column) -> Column:
+    return F.md5(text.cast("string").cast("binary"))
+
+
 def _classes(docs: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    sketches = scratch.written(texts.select("id", F.md5(F.col("text").cast("binary")).alias("copy"), "text").mapInArrow(_sketch, "id long, copy string, bands array<long>"), "sketches")
-    known = sketches.filter("id IS NOT NULL")
-    firsts = scratch.written(known.filter("copy IS NOT NULL").groupBy("copy").agg(F.min("id").alias("first")), "texts")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), copy_of(F.col("text")).alias("copy"), F.col("text").cast("string").alias("text"))
+    sketches = scratch.written(texts.mapInArrow(_sketch(rows_for(threshold)), "id long, copy string, bands array<long>"), "sketches")
+    # texts with their first row's id, their buckets and a number, which stays as it is written
+    numbered = sketches.filter("copy IS NOT NULL").groupBy("copy").agg(F.min("id").alias("first"), F.first("bands", ignorenulls=True).alias("bands"))
+    numbered = scratch.written(numbered.withColumn("no", F.monotonically_increasing_id()), "texts")
 
-    # one row of each text, dealt into its buckets; id and copy are those of a text's first row
-    dealt = known.join(firsts.select("copy", F.col("first").alias("id")), ["id", "copy"], "left_semi").select("id", F.explode("bands").alias("key"))
+    dealt = numbered.select(F.col("no").alias("id"), F.explode("bands").alias("key"))
     pivots = dealt.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).filter("last > pivot").drop("last")
     pivots = scratch.written(pivots, "pivots")
     pairs = scratch.written(dealt.join(pivots, "key").filter("id <> pivot").select("id", "pivot").distinct(), "pairs")
 
-    # the texts of those that have a partner; few enough ids are broadcast, so that not all texts are shuffled
-    involved = scratch.written(pairs.select("id").union(pairs.select("pivot")).distinct(), "involved")
-    few = involved.limit(FEW_IDS + 1).count() <= FEW_IDS
-    of = scratch.written(texts.join(F.broadcast(involved) if few else involved, "id", "left_semi").distinct(), "partners")
+    # the texts of those that have a partner; few enough are found by a broadcast of their hashes, so that not all texts are shuffled
+    involved = pairs.select("id").union(pairs.select("pivot")).distinct()
+    involved = scratch.written(numbered.select(F.col("no").alias("id"), "copy", "first").join(involved, "id", "left_semi").select(F.col("id").alias("no"), "copy", "first"), "involved")
+    few = involved.limit(FEW_TEXTS + 1).count() <= FEW_TEXTS
+    found = texts.join(F.broadcast(involved) if few else involved, "copy").filter(F.col("id").eqNullSafe(F.col("first"))).select(F.col("no").alias("id"), "text")
+    of = scratch.written(found.dropDuplicates(["id"]), "partners")
     other = of.select(F.col("id").alias("pivot"), F.col("text").alias("pivot_text"))
-    seen = pairs.join(of, "id").join(other, "pivot").filter("text IS NOT NULL AND pivot_text IS NOT NULL")
+    seen = pairs.join(of, "id").join(other, "pivot")
     judged = scratch.written(seen.select("id", "pivot", "text", "pivot_text").mapInArrow(_verify, "id long, pivot long, similarity double"), "judged")
-    # of an id with several texts, the most similar counts
-    judged = scratch.written(judged.groupBy("id", "pivot").agg(F.max("similarity").alias("similarity")), "distances")
-
-    # an id with several texts links them
-    same_id = known.filter("copy IS NOT NULL").join(firsts, "copy").filter("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
-    same_id = same_id.join(firsts.select(F.col("first").alias("a")).distinct(), "a", "left_semi").distinct()
-    links = scratch.written(judged.filter(F.col("similarity") >= threshold).select(F.col("id").alias("a"), F.col("pivot").alias("b")).union(same_id), "links")
-    more = _rest(judged, components(links), of, threshold, scratch)
+
+    links = scratch.written(judged.filter(F.col("similarity") >= threshold).select(F.col("id").alias("a"), F.col("pivot").alias("b")), "links")
+    more = _rest(judged, components(links, scratch), of, threshold, scratch)
     if more is not None:
         links = links.union(more)
-    belongs = components(links)
-    # by text, then by row
-    text_class = firsts.join(belongs.withColumnRenamed("id", "first"), "first", "left").select("copy", F.coalesce("class", "first").alias("class_id"))
-    text_class = scratch.written(text_class, "classes")
-    by_text = sketches.select("id", "copy").join(text_class, "copy", "left")
-    return by_text.select(F.col("id").alias("doc_id"), F.when(F.col("id").isNotNull(), F.coalesce("class_id", "id")).alias("class_id"))
+    # by text, then by row: the class's text is the one whose first id is smallest (null last), then the smallest hash
+    belongs = numbered.select("no", "copy", "first").join(components(links, scratch).withColumnRenamed("id", "no"), "no", "left").select("copy", "first", F.coalesce("class", "no").alias("class"))
+    belongs = scratch.written(belongs, "classes")
+    heads = belongs.groupBy("class").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "copy")).alias("head"))
+    text_class = belongs.join(heads, "class").select("copy", F.col("head.first").alias("class_id"), (F.col("head.copy") == F.col("copy")).alias("head"))
+    by_row = sketches.select("id", "copy").join(text_class, "copy", "left")
+    none = F.col("copy").isNull()
+    return by_row.select(F.col("id").alias("doc_id"), F.when(none, F.col("id")).otherwise(F.col("class_id")).alias("class_id"), "copy", (none | (F.col("head") & F.col("id").eqNullSafe(F.col("class_id")))).alias("keep"))
 
 
 def _rest(judged: DataFrame, belongs: DataFrame, of: DataFrame, threshold: float, scratch: Scratch) -> DataFrame | None:
@@ -269,7 +304,7 @@ def _rest(judged: DataFrame, belongs: DataFrame, of: DataFrame, threshold: float
 
 
 def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classes(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return classes(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select("doc_id", "class_id")
 
 
 QUERIES = {"op6_near_dup": op6_near_dup}

@@ -86,10 +86,50 @@ def test_brute_force(spark, documents, monkeypatch):
 def test_odd_rows(spark, documents):
     rows = [(1, None), (2, None), (3, ""), (4, ""), (5, "?"), (6, "a b"), (7, "A, b"), (8, "a b c"), (9, "x " * 50_000), (10, "x " * 50_000), (11, "q w"), (11, "a b"), (None, "a b"), (12, "a b")]
     got = sorted((r.doc_id or 0, r.class_id) for r in nd.classes(documents(*rows)).collect())
-    assert got == [(0, None), (1, 1), (2, 2), (3, 3), (4, 3), (5, 5), (6, 6), (7, 6), (8, 8), (9, 9), (10, 9), (11, 6), (11, 6), (12, 6)]
+    assert got == [(0, 6), (1, 1), (2, 2), (3, 3), (4, 3), (5, 5), (6, 6), (7, 6), (8, 8), (9, 9), (10, 9), (11, 6), (11, 11), (12, 6)]
+    kept = nd.classes(documents(*rows, (None, "no id has this"), (None, "no id has this"), (6, "a b"))).filter("keep").collect()
+    # a row without an id is kept only where no copy has one; rows that repeat a kept one are marked as well
+    assert sorted((r.doc_id or 0) for r in kept) == [0, 0, 1, 2, 3, 5, 6, 6, 8, 9, 11]
     assert nd.classes(documents((1, "a")).limit(0)).count() == 0
 
 
+def test_several_texts_of_an_id(spark, documents, monkeypatch):
+    """Each text is compared as itself, whichever rows share its id."""
+    monkeypatch.setattr(nd, "BLOCK_DOCS", 4)
+    rng = random.Random(9)
+    words = [["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(60)] for _ in range(12)]
+    near = [w[:-1] + ["other"] for w in words]
+    rows = [(7, " ".join(w)) for w in words] + [(None if k % 2 else k, " ".join(w)) for k, w in enumerate(near)]
+    found = nd.classes(documents(*rows)).collect()
+    assert len(found) == 24 and sum(r.keep for r in found) == 12
+    of = {r.copy: r.class_id for r in found}
+    assert len(set(of)) == 24 and sorted(of.values()) == sorted(2 * [min(7, k) if k % 2 == 0 else 7 for k in range(12)])
+
+
+@pytest.mark.parametrize("threshold,least", [(0.8, 0.99), (0.4, 0.9)])
+def test_recall_of_near_copies(spark, threshold, least):
+    """Of all pairs of different texts that brute force finds at a threshold, those that end in one class."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    got = {r.doc_id: r.class_id for r in nd.classes(docs, threshold).collect()}
+    texts = {}
+    for r in docs.collect():
+        texts.setdefault(r.text, r.doc_id)
+    bags = [(i, nd.shingles(t.encode())) for t, i in texts.items()]
+    holders = {}
+    for k, (_, b) in enumerate(bags):
+        for h in b[0].tolist():
+            holders.setdefault(h, []).append(k)
+    pairs = {(x, y) for own in holders.values() if len(own) < 60 for n, y in enumerate(own) for x in own[:n]}
+    true = [(bags[x][0], bags[y][0]) for x, y in pairs if nd.similarity(bags[x][1], bags[y][1]) >= threshold]
+    assert len(true) >= 5 and sum(got[a] == got[b] for a, b in true) / len(true) >= least
+    want = brute([(r.doc_id, r.text) for r in docs.collect()], threshold) if threshold == 0.8 else None
+    assert want is None or got == want
+
+
+def test_rows_of_a_band():
+    assert [nd.rows_for(t) for t in (0.95, 0.8, 0.5, 0.4, 0.01)] == [16, 5, 2, 2, 1]
+
+
 def test_components(spark):
     rng = random.Random(7)
     edges = [(k, k + 1) for k in range(1, 60)] + [(100, k) for k in range(101, 140)] + [(200 + rng.randrange(50), 200 + rng.randrange(50)) for _ in range(40)]
