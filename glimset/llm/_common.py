@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from glimset.sources.shared import removed, shared_path, write_table, written
 
-__all__ = ["Scratch", "WORD_BYTES", "hash32", "held_out", "in_slices", "labelled_sample", "removed", "shared_path", "words_of", "written"]
+__all__ = ["Scratch", "WORD_BYTES", "hash32", "held_out", "in_slices", "joined_few", "labelled_sample", "small_join", "removed", "shared_path", "words_of", "write_table", "written"]
 
 #: Maps A-Z to a-z and every ASCII byte but letters and digits to a space, so that
 #: ``bytes.split`` yields the words ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` of UTF-8 text.
@@ -53,10 +53,28 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def small_join(big: DataFrame, small: DataFrame, on: Column, max_rows: int = 100_000) -> DataFrame:
-    """Left join that broadcasts ``small`` (a written table) only if it has at most max_rows rows."""
-    few = small.limit(max_rows + 1).count() <= max_rows
-    return big.join(F.broadcast(small) if few else small, on, "left")
+#: Bytes of a table that is broadcast at most, by what its columns hold.
+FEW_BYTES = 48 << 20
+
+
+def small_join(big: DataFrame, small: DataFrame, on: Column, most_bytes: int = FEW_BYTES) -> DataFrame:
+    """Left join that broadcasts ``small`` (a written table) only if its rows have at most so many bytes."""
+    return big.join(F.broadcast(small) if bytes_of(small) <= most_bytes else small, on, "left")
+
+
+def bytes_of(df: DataFrame) -> int:
+    """Bytes of a table's rows: 16 a value, and what strings and binaries hold."""
+    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema.fields if f.dataType.typeName() in ("string", "binary")]
+    return df.agg(F.coalesce(F.sum(sum(texts, F.lit(16 * len(df.columns)))), F.lit(0))).first()[0]
+
+
+def joined_few(big: DataFrame, few: DataFrame, keys: list[str], mark: str) -> DataFrame:
+    """``big`` with ``mark``: whether ``few`` (a written table of distinct keys) has its keys, nulls being equal."""
+    theirs = few.select(*[F.col(k).alias(f"__{k}") for k in keys], F.lit(True).alias(mark))
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return small_join(big, theirs, on).withColumn(mark, F.coalesce(mark, F.lit(False))).drop(*[f"__{k}" for k in keys])
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, columns: list[str], rows: int) -> DataFrame:

@@ -2,15 +2,18 @@
 
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from glimset.llm import langid
+from glimset.llm._common import held_out
 from tests.llm.test_decontaminate import brute as contaminated
 from tests.llm.test_near_dup import brute as classes
 
 
 def test_stages(spark, sf_dir, tmp_path):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    odd = spark.createDataFrame([(-1, "12 34 !", "en", "src0", 7), (-2, None, "en", "src0", 0)], docs.schema)
+    odd = spark.createDataFrame([(-1, "12 34 !", "en", "src0", 7), (-2, None, "en", "src0", 0), (-3, "Кот сидит на окне", None, "src0", 17)], docs.schema)
     docs = docs.union(odd)
     columns, kept = docs.columns, []
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
@@ -21,7 +24,12 @@ def test_stages(spark, sf_dir, tmp_path):
         docs = kept[-1][1]
     texts = lambda rows: [(r.doc_id, r.text) for r in rows]
     outs = [o.collect() for _, o in kept]
-    assert {r.doc_id for r in kept[0][0]} - {r.doc_id for r in outs[0]} == {r.doc_id for r in kept[0][0] if not any(c.isalpha() for c in r.text or "")}
+    model = langid.fit(spark.read.parquet(f"{sf_dir}/documents.parquet").union(odd).filter(~held_out(F.col("doc_id"))))
+    said = {r.doc_id: model.predict([r.text])[0] for r in kept[0][0]}
+    told = lambda p: p[0] != "und" and p[1] >= corpus_pipeline.LEAST_SCORE and p[2] <= corpus_pipeline.MOST_BITS
+    lost = [r.text for r in kept[0][0] if not told(said[r.doc_id])]
+    assert {r.doc_id for r in kept[0][0]} - {r.doc_id for r in outs[0]} == {i for i, p in said.items() if not told(p)}
+    assert "Кот сидит на окне" in lost and all(len(t or "") < 150 for t in lost)  # clean documents stay
     assert sorted(r.doc_id for r in outs[1]) == sorted(i for i, c in classes(texts(kept[1][0])).items() if i == c)
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     assert sorted(r.doc_id for r in outs[2]) == sorted(i for i, (_, hit, _) in contaminated(texts(kept[2][0]), items).items() if not hit)
@@ -37,10 +45,31 @@ def test_run_agrees_with_itself(spark, sf_dir):
     assert one == two and one
 
 
+def test_languages_to_keep(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    kept = corpus_pipeline.language_id(spark, docs, sf_dir, ("en", "de")).collect()
+    assert sum(r.lang in ("en", "de") for r in kept) / len(kept) > 0.99 and len(kept) > 80
+
+
 def test_repeated_ids(spark, sf_dir):
-    docs = spark.createDataFrame([(1, "a b c", "en", "s", 5), (1, "a b c", "en", "s", 5), (None, "a b c", "en", "s", 5), (2, "a b c", "en", "s", 5), (3, "x y z", "en", "s", 5)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = spark.createDataFrame([(1, "a b c", "en", "s", 5), (1, "a b c", "en", "s", 5), (1, "other text", "en", "s", 5), (None, "a b c", "en", "s", 5), (2, "a b c", "en", "s", 5), (3, "x y z", "en", "s", 5), (None, "q", "en", "s", 1), (None, "q", "en", "s", 1), (4, None, "en", "s", 0), (None, None, "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
     kept = corpus_pipeline.near_dedup(spark, docs, sf_dir).collect()
-    assert sorted((r.doc_id or 0) for r in kept) == [0, 1, 3]
+    assert sorted(((r.doc_id or 0), r.text or "") for r in kept) == [(0, ""), (0, "q"), (1, "a b c"), (1, "other text"), (3, "x y z"), (4, "")]
+
+
+CLASHES = ["gone", "again", "copy", "row", "class_id", "keep", "shard", "generation", "in", "goes_to", "__gone", "__again", "__hit", "__rows", "__level", "__doc_id", "spans", "size", "repeats", "score", "lang_pred", "shard_rows"]
+
+
+def test_clashing_names_and_empty_table(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    docs = docs.union(docs.limit(3)).select("*", *[F.lit(c).alias(c) for c in CLASHES])
+    for start in (docs, docs.limit(0)):
+        some = start
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            some = stage(spark, some, sf_dir)
+            assert some.columns[: len(docs.columns)] == docs.columns and (k == 4) == (len(some.columns) > len(docs.columns))
+        rows = some.collect()
+        assert bool(rows) == (start is docs) and all(r[c] == c for r in rows for c in CLASHES)
 
 
 def test_contaminated_without_id(spark, tmp_path):
