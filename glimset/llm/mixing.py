@@ -12,8 +12,8 @@ start is taken: in each stratum the words taken miss their share by one document
 stratum grows with its source.
 
 Defined cases: a null or blank text has size 0; null sources form one source, which comes last; a
-source of size 0 has target 0 and is not taken; repeated rows and ids count as documents of their
-own; an empty table gives an empty result; other columns are carried in ``row`` whatever their
+source of size 0 has target 0 and is not taken; rows without an id are dealt by their text; repeated rows
+and ids count as documents of their own; an empty table gives an empty result; other columns are carried in ``row`` whatever their
 names are.
 """
 
@@ -33,7 +33,8 @@ PARTS = 1_000_000_000
 def cycled_weights(sources: DataFrame, weights: Sequence[int] = (1, 2, 3)) -> DataFrame:
     """Adds ``weight``: the weights in turn, to the sources by code point, null last.
 
-    ``sources`` has one row a source, so that the one unpartitioned window sees only those."""
+    ``sources`` has one row a source, so that the one unpartitioned window sees only those: some 100 bytes for each
+    source, whatever its documents, which bounds a run to what one task can sort (some ten million sources)."""
     n = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
     turn = F.element_at(F.array(*[F.lit(int(w)) for w in weights]), ((n - 1) % len(weights) + 1).cast("int"))
     return sources.withColumn("weight", turn.cast("long"))
@@ -71,7 +72,8 @@ def mix(docs: DataFrame, carry: Sequence[str] = ("doc_id",), weights: Sequence[i
         F.struct(*[F.col(c) for c in carry]).alias("row"),
         F.col("source"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        hash32(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("__h"),
+        hash32(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.col("text").cast("string"), F.lit("")))).alias("__h"),
+        F.xxhash64("doc_id", "text").alias("__tie"),
     )
     if "text" not in carry:
         narrow = written(narrow, "mix-sizes")
@@ -85,7 +87,7 @@ def mix(docs: DataFrame, carry: Sequence[str] = ("doc_id",), weights: Sequence[i
     df = small_join(narrow, few, F.col("source").eqNullSafe(F.col("__source")))
     df = df.withColumn("__stratum", F.col("__h") % F.col("__strata"))
     start = hash32(F.concat_ws("|", F.lit(f"{seed}"), F.coalesce("source", F.lit("")), F.col("__stratum").cast("string"))) % PARTS
-    rank = F.row_number().over(Window.partitionBy("source", "__stratum").orderBy("size", "__h", F.col("row.doc_id") if "doc_id" in carry else F.lit(0))).cast("long")
+    rank = F.row_number().over(Window.partitionBy("source", "__stratum").orderBy("size", "__h", "__tie")).cast("long")
     df = df.withColumn("__rank", rank).withColumn("__start", start).withColumn("__more", F.col("__parts") % PARTS)
     reached = lambda r: F.expr(f"({r} * __more + __start) div {PARTS}")
     df = df.withColumn("repeats", F.expr(f"__parts div {PARTS}") + reached("__rank") - reached("(__rank - 1)"))
@@ -100,7 +102,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = rf"""
 WITH docs AS (
   SELECT doc_id, source, coalesce(length(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
-         CAST('0x' || substr(md5('0|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h
+         CAST('0x' || substr(md5('0|' || coalesce(CAST(doc_id AS VARCHAR), text, '')), 1, 8) AS BIGINT) AS h
   FROM documents),
 sources AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n,

@@ -14,7 +14,8 @@ Defined cases: of responses at one time, the one with the largest record id coun
 the revisit's own time is not earlier; a revisit without URL, time or earlier response is an
 ``orphan`` with its own headers; one whose validators differ is a ``mismatch`` (it names the response,
 and keeps its own headers); without a common validator it is ``unvalidated``, and resolved; null
-headers are none; repeated records are resolved each; other columns are ignored.
+headers are none; repeated revisits are resolved each; of responses that share a record id the latest counts;
+other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -62,10 +63,13 @@ def resolve(records: DataFrame, span: int = 86_400) -> DataFrame:
     within = F.last("has", ignorenulls=True).over(Window.partitionBy("url_key", "span").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
     found = keys.select("url_key", "span", "at", within.alias("near"))
     found = written(found.join(asked, ["url_key", "span"]).select("url_key", "at", F.coalesce("near", "earlier").alias("refers_to")).filter("refers_to IS NOT NULL"), "revisit-found")
-    of = responses.select(F.col("record_id").alias("refers_to"), F.col("digest").alias("was_digest"), F.col("headers").alias("was"))
-    of = of.dropDuplicates(["refers_to"])
-    # the revisits are the side with hot keys, the other has a row for each
-    df = revisits.join(found, ["url_key", "at"], "left").join(written(of, "revisit-responses"), "refers_to", "left")
+    # of responses that share a record id, the latest counts, then the one with the largest digest and headers
+    latest = F.max_by(F.struct("digest", "headers"), F.struct("at", "digest", F.array_sort(F.map_entries("headers"))))
+    of = responses.groupBy(F.col("record_id").alias("refers_to")).agg(latest.alias("r")).select("refers_to", F.col("r.digest").alias("was_digest"), F.col("r.headers").alias("was"))
+    # the revisits are the side with hot keys, the other has a row for each; rows without a key, which find nothing, are spread
+    spread = lambda c: F.when(F.col(c).isNull(), F.xxhash64("record_id")).otherwise(0)
+    df = revisits.withColumn("spread", spread("url_key")).join(found.withColumn("spread", F.lit(0).cast("long")), ["url_key", "at", "spread"], "left").drop("spread")
+    df = df.withColumn("spread", spread("refers_to")).join(written(of, "revisit-responses").withColumn("spread", F.lit(0).cast("long")), ["refers_to", "spread"], "left")
     tag = lambda h: F.regexp_replace(F.col(h)["etag"], "^W/", "")
     same = F.coalesce(F.col("digest") == F.col("was_digest"), tag("headers") == tag("was"), F.col("headers")["last-modified"] == F.col("was")["last-modified"])
     status = F.when(F.col("refers_to").isNull(), "orphan").when(same, "resolved").when(~same, "mismatch").otherwise("unvalidated")

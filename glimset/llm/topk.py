@@ -9,7 +9,9 @@ partition selection keeps k of each array, and a ranked merge over the cells kee
 Defined cases: vectors that are null, or hold a null, NaN or infinite component, take no part, as
 queries or candidates; vectors of other lengths meet in the components that both have; an empty
 vector scores 0 everywhere; ties go to the smaller id; rows without an id are left out; repeated
-rows are candidates of their own but one query; a query finds no row of its own id.
+rows are candidates of their own but one query; a query finds no row of its own id. Vectors with a weight
+beyond a long (a component from 3.6e16 on, at scale 256) take no part either; scores beyond a long are
+summed whole and then count as the nearest long.
 """
 
 from __future__ import annotations
@@ -39,8 +41,9 @@ def best_of_cell(candidate_ids: np.ndarray, candidates: tuple, query_ids: np.nda
     """(query id, candidate id, score) of the k best candidates of every query; candidate_ids ascend."""
     n, (row, term, weight, terms) = len(candidate_ids), candidates
     q_row, q_term, q_weight, q_terms = queries
-    bound = int(np.abs(weight).max(initial=0)) * int(np.abs(q_weight).max(initial=0)) * max(terms, q_terms, 1)
-    kind = np.int32 if bound < 2**31 else np.int64
+    most = lambda w: max(abs(int(w.min(initial=0))), abs(int(w.max(initial=0))))
+    bound = most(weight) * most(q_weight) * max(terms, q_terms, 1)
+    kind = np.int32 if bound < 2**31 else np.int64 if bound < 2**63 else object  # Python's integers
     order = np.argsort(term, kind="stable")
     row, weight, starts = row[order], weight[order].astype(kind), np.searchsorted(term[order], np.arange(terms + 1))
     found = []
@@ -62,6 +65,8 @@ def best_of_cell(candidate_ids: np.ndarray, candidates: tuple, query_ids: np.nda
                     scores[t_row[have]] += part
                 else:
                     scores[np.ix_(t_row[have], row[posted])] += part
+        if kind is object:
+            scores = np.clip(scores, -(2**63), 2**63 - 1).astype(np.int64)
         own = ids[:, None] == candidate_ids[None, :]
         take = min(k + int(own.sum(axis=1).max(initial=0)), n)
         if bound < 2**62 // max(n, 1):
@@ -69,7 +74,7 @@ def best_of_cell(candidate_ids: np.ndarray, candidates: tuple, query_ids: np.nda
             key[own] = np.iinfo(np.int64).min
             best = np.argpartition(key, n - take, axis=1)[:, n - take :]
         else:  # scores too large for a common key
-            best = np.stack([np.lexsort((np.arange(n), -s.astype(float), -s, o))[:take] for s, o in zip(scores, own, strict=True)])
+            best = np.stack([sorted(range(n), key=lambda c, s=s, o=o: (o[c], -int(s[c]), c))[:take] for s, o in zip(scores, own, strict=True)])
         who = np.repeat(np.arange(len(ids)), take)
         best = best.ravel()
         keep = ~own[who, best]
@@ -77,10 +82,10 @@ def best_of_cell(candidate_ids: np.ndarray, candidates: tuple, query_ids: np.nda
     return tuple(np.concatenate(x) if found else np.zeros(0, np.int64) for x in (zip(*found) if found else ((), (), ())))
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, block_rows: int = 1024, query_rows: int = 2048) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, block_rows: int = 4096, query_rows: int = 8192) -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows of (vec_id, embedding) for each row that is_query marks."""
     x = F.col("embedding")
-    finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != F.lit(float("inf")))
+    finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < F.lit(2.0**63 / scale))
     rows = vectors.filter(F.col("vec_id").isNotNull() & x.isNotNull()).filter(F.forall(x, finite))
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda v: F.floor(v.cast("double") * scale).cast("long")).alias("weights"), is_query.alias("asks"))
     n, asked = vectors.agg(F.count(F.lit(1)), F.count_if(is_query)).first()

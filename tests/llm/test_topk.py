@@ -41,3 +41,18 @@ def test_odd_vectors(spark):
     got = sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 10 == 0).collect()))
     assert [g for g in got if g[0] == 0] == [(0, 1, 10, 131072), (0, 2, 5, 65536), (0, 3, 5, 65536), (0, 4, 6, 0), (0, 5, 7, -65536000000000000)]
     assert len(got) == 10 and topk.top_k(df.limit(0), F.col("vec_id") % 10 == 0).count() == 0
+
+
+def test_large_weights(spark):
+    rows = [(0, [1e16, 1.0]), (1, [1e16, 1.0]), (2, [1e300, 1.0]), (3, [-1e16, 0.0]), (4, [1.0, 2.0]), (5, [1e16, 2.0])]
+    got = [tuple(r) for r in topk.top_k(spark.createDataFrame([(*r, 0) for r in rows], KIND), F.col("vec_id") == 0).orderBy("rank").collect()]
+    # 1 and 5 are both beyond a long, and tie; so is 4's, as 256 * 256e16; 2 takes no part
+    most = 2**63 - 1
+    assert got == [(0, 1, 1, most), (0, 2, 4, most), (0, 3, 5, most), (0, 4, 3, -most - 1)]
+
+
+def test_long_vectors(spark):
+    rng = random.Random(2)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(20_000)]) for i in range(12)]
+    got = sorted(map(tuple, topk.top_k(spark.createDataFrame([(*r, 0) for r in rows], KIND), F.col("vec_id") % 5 == 0).collect()))
+    assert got == brute(rows, 5, 5)

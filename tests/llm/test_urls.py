@@ -109,3 +109,32 @@ def test_revisits_by_hand(spark):
     assert [g[:3] for g in got] == [(4, "orphan", None), (5, "resolved", 1), (6, "resolved", 1), (7, "mismatch", 3), (8, "unvalidated", 3), (8, "unvalidated", 3), (9, "orphan", None), (10, "orphan", None), (12, "orphan", None)]
     assert got[1][3] == {"etag": 'W/"1"', "server": "s", "date": "5"} and got[2][3] == {"etag": '"1"', "server": "s", "date": "1"} and got[3][3] == {"date": "7"} and got[4][3] == {"date": "8"}
     assert revisit.resolve(df.limit(0)).count() == 0
+
+
+def test_many_captures_of_a_url(spark):
+    """One URL with most captures, repeated record ids, revisits without a URL, and a very long URL, against a walk in order of time."""
+    import random
+
+    rng = random.Random(4)
+    hot, long = "http://hot.com/", "http://long.com/" + "p" * 200_000
+    rows = []
+    for k in range(3000):
+        url = rng.choice([hot, hot, hot, "http://b.com/", None, long])
+        at = rng.randrange(2_000_000)
+        if k % 3:
+            rows.append((k, "revisit", url, at, None, {"etag": "x"}))
+        else:
+            rows.append((k - k % 4 if k % 7 == 0 else k, "response", url, at, f"d{k}", {"etag": "x"}))
+    df = spark.createDataFrame(rows, "record_id long, kind string, url string, at long, digest string, headers map<string,string>")
+    got = sorted((r.record_id, r.refers_to) for r in revisit.resolve(df).select("record_id", "refers_to").collect())
+    times = {}
+    for i, kind, url, at, _, _ in rows:
+        if kind == "response" and url:
+            times.setdefault(url, {}).setdefault(at, []).append(i)
+    want = []
+    for i, kind, url, at, _, _ in rows:
+        if kind == "revisit":
+            earlier = [t for t in times.get(url, {}) if t < at]
+            want.append((i, max(times[url][max(earlier)]) if earlier else None))
+    assert got == sorted(want, key=str) or sorted(got, key=str) == sorted(want, key=str)
+    assert [r.status for r in revisit.resolve(df.limit(40)).collect()] == [r.status for r in revisit.resolve(df.limit(40)).collect()]
