@@ -31,7 +31,10 @@ from pyspark.sql.types import ArrayType, StructType
 
 from ._common import Scratch, in_slices, words_of, written
 
-INDEX = "block string, doc_ids array<long>, n_words array<long>, terms array<binary>, starts array<int>, docs array<int>, positions array<int>"
+#: A block's terms are words, with a blank between two. Postings follow each other by term: ``starts`` (32-bit) says where a
+#: term's begin, ``docs`` (16-bit) and ``positions`` (32-bit) are each posting's document in the block and place in it.
+#: Packed numbers cost the JVM a copy, where arrays would cost it a step for every element.
+INDEX = "block string, doc_ids array<long>, n_words array<long>, terms binary, starts binary, docs binary, positions binary"
 FOUND = "row_key string, doc_id long, n_words long, spans array<struct<start:long,end:long>>, near array<struct<start:long,end:long>>, items array<string>, near_items array<string>"
 #: Documents of a block at most, and the bits of a place in one.
 MOST_DOCS, PLACE_BITS = 512, 43
@@ -53,13 +56,13 @@ def index_block(doc_ids: list, texts: list[bytes | None], rows: pa.Array | None
         words = words_of(text)
         n_words.append(len(words))
         ids.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words)))
-    docs = np.repeat(np.arange(len(texts), dtype=np.int32), n_words)
+    docs = np.repeat(np.arange(len(texts), dtype=np.uint16), n_words)
     positions = np.concatenate([np.zeros(0, np.int32), *(np.arange(n, dtype=np.int32) for n in n_words)])
     found = np.concatenate([np.zeros(0, np.int32), *ids])
     order = np.argsort(found, kind="stable")
     starts = np.searchsorted(found[order], np.arange(len(number) + 1)).astype(np.int32)
     block = f"{doc_ids[0]}-{len(doc_ids)}-{np.random.default_rng().integers(2**62)}"
-    columns = [pa.array([block]), _list(doc_ids, pa.int64()), _list(n_words, pa.int64()), _list(list(number), pa.binary()), _list(starts, pa.int32()), _list(docs[order], pa.int32()), _list(positions[order], pa.int32())]
+    columns = [pa.array([block]), _list(doc_ids, pa.int64()), _list(n_words, pa.int64()), *(pa.array([x], pa.binary()) for x in (b" ".join(number), starts.tobytes(), docs[order].tobytes(), positions[order].tobytes()))]
     names = ["block", "doc_ids", "n_words", "terms", "starts", "docs", "positions"]
     if rows is not None:
         columns, names = [*columns, _list(rows, rows.type)], [*names, "rows"]
@@ -138,6 +141,14 @@ class Block:
         self.places = (docs[at].astype(np.int64) << 33) + (1 << 32) + positions[at]
         self.keys = (np.repeat(np.arange(len(own), dtype=np.int64), n) << PLACE_BITS) + self.places
 
+    @classmethod
+    def unpacked(cls, packed: list[pa.Scalar], vocabulary: pa.Array) -> Block:
+        """From the terms, starts, docs and positions of a row of the index."""
+        terms, *numbers = (x.as_buffer() for x in packed)
+        own = pa.array(terms.to_pybytes().split(b" ") if len(terms) else [], pa.binary())
+        known = np.asarray(pc.fill_null(pc.index_in(own, vocabulary), -1), dtype=np.int64)
+        return cls(known, *(np.frombuffer(x, kind) for x, kind in zip(numbers, (np.int32, np.uint16, np.int32), strict=True)), len(vocabulary))
+
     def near(self, rank: np.ndarray, place: np.ndarray, slack: int = 0) -> np.ndarray:
         """Whether the term of each rank occurs at the place, or up to ``slack`` words off it."""
         low = (rank << PLACE_BITS) + place - slack
@@ -220,10 +231,8 @@ def search(index: DataFrame, items: DataFrame, words: int = 10, slack: int = 0,
             known = windows.value
             for batch in batches:
                 for r in range(batch.num_rows):
-                    block, doc_ids, n_words, terms, *rest = (batch.column(c)[r] for c in range(7))
-                    numbers = np.asarray(pc.fill_null(pc.index_in(terms.values, known.vocabulary), -1), dtype=np.int64)
-                    postings = Block(numbers, *(x.values.to_numpy() for x in rest), len(known.vocabulary))
-                    out = found_in(block.as_py(), doc_ids.values, n_words.values, postings, known, slack)
+                    block, doc_ids, n_words, *packed = (batch.column(c)[r] for c in range(7))
+                    out = found_in(block.as_py(), doc_ids.values, n_words.values, Block.unpacked(packed, known.vocabulary), known, slack)
                     yield out.append_column("row", batch.column(7)[r].values) if carried else out
 
         return index.mapInArrow(look, schema)
