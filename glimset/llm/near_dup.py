@@ -259,11 +259,13 @@ def _classes(docs: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
     judged = scratch.written(seen.select("id", "pivot", "text", "pivot_text").mapInArrow(_verify, "id long, pivot long, similarity double"), "judged")
 
     links = scratch.written(judged.filter(F.col("similarity") >= threshold).select(F.col("id").alias("a"), F.col("pivot").alias("b")), "links")
-    more = _rest(judged, components(links, scratch), of, threshold, scratch)
-    if more is not None:
-        links = links.union(more)
+    joined = scratch.written(components(links, scratch), "joined")
+    more = _rest(judged, joined, of, threshold, scratch)
+    if more is not None and not more.isEmpty():  # the classes so far stand for the links that made them
+        stars = joined.filter(F.col("id") != F.col("class")).select(F.col("id").alias("a"), F.col("class").alias("b"))
+        joined = components(stars.union(more), scratch)
     # by text, then by row: the class's text is the one whose first id is smallest (null last), then the smallest hash
-    belongs = numbered.select("no", "copy", "first").join(components(links, scratch).withColumnRenamed("id", "no"), "no", "left").select("copy", "first", F.coalesce("class", "no").alias("class"))
+    belongs = numbered.select("no", "copy", "first").join(joined.withColumnRenamed("id", "no"), "no", "left").select("copy", "first", F.coalesce("class", "no").alias("class"))
     belongs = scratch.written(belongs, "classes")
     heads = belongs.groupBy("class").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "copy")).alias("head"))
     text_class = belongs.join(heads, "class").select("copy", F.col("head.first").alias("class_id"), (F.col("head.copy") == F.col("copy")).alias("head"))
