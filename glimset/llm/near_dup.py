@@ -14,13 +14,14 @@ threshold allows for a chance of ``MISSED`` at most that a pair at the threshold
 of a bucket is compared with its pivot, the bucket's smallest number, by exact multiset overlap: a hot bucket
 makes as many pairs as it has members. Pairs of members that are both linked to the pivot need no look: they
 are in one class. The rest is checked exactly too, but without making pairs: members that aren't in their
-pivot's class are compared with all members that have this pivot, in cells of bounded blocks, from
-which only links come back. Distances are a metric, so that pairs whose distances to the pivot
+pivot's class are compared with all members that have this pivot, in cells of two blocks of texts of bounded
+bytes, from which one link comes back for each two classes that meet. Distances are a metric, so that pairs whose distances to the pivot
 differ by more than 1 - threshold are skipped. The links' components are the classes.
 
 The number of such comparisons is (members outside of the pivot's class) x (members), for each
 pivot: small for families that hold together, up to the square of the family for one that spreads
-over the threshold. Links are missed only where no band agrees: at a threshold of 0.8, 3 in a million.
+over the threshold. A member's text is copied once for each block of ``BLOCK_BYTES`` that it meets, so
+that copies grow with the square of a family's bytes, too. Links are missed only where no band agrees: at a threshold of 0.8, 3 in a million.
 
 Defined cases: every row is a document, also where ids repeat or are null; texts without words are only equal
 to exact copies; a null text is a class of its own; a class has the smallest id among its rows, null if none has
@@ -43,7 +44,8 @@ from ._common import Scratch, in_slices, words_of, written
 SHINGLE, THRESHOLD = 5, 0.8
 REGISTERS, MISSED = 160, 1e-4
 SLICE_BYTES = 4 << 20
-BLOCK_DOCS = 256
+#: Bytes of texts in a block, on average, where a text counts ``TEXT_BYTES`` besides.
+BLOCK_BYTES, TEXT_BYTES = 2 << 20, 256
 #: Texts' hashes and numbers that are broadcast at most: 40 MB.
 FEW_TEXTS = 400_000
 #: Processes, or postings, that are looked at together.
@@ -172,7 +174,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def block_links(left: list[tuple], right: list[tuple], threshold: float = THRESHOLD) -> list[tuple[int, int]]:
-    """Links of two blocks' rows (id, class, distance to the pivot, text) that no class has yet.
+    """Links of two blocks' rows (id, class, distance to the pivot, text) that join what no class has yet: one for each
+    two classes that meet, which are one class from then on.
 
     Overlaps are summed through the right block's postings, so that rows without a common shingle
     meet nowhere."""
@@ -183,8 +186,10 @@ def block_links(left: list[tuple], right: list[tuple], threshold: float = THRESH
     counts = np.concatenate([np.zeros(0, np.int64), *(b[1] for b in bags)])[order]
     weights = np.array([b[1].sum() for b in bags], np.float64)
     ids, classes, away = (np.array([r[k] for r in right]) for k in range(3))
-    found = []
+    found, same = [], {}
     for a, of, distance, text in left:
+        while of in same:
+            of = same[of]
         if not ((classes != of) & (np.abs(away - distance) <= 1 - threshold + 1e-9)).any():
             continue
         own, times = shingles(text)
@@ -195,7 +200,10 @@ def block_links(left: list[tuple], right: list[tuple], threshold: float = THRESH
             at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first, many)
             both += np.bincount(owner[at], np.minimum(counts[at], np.repeat(times[start:stop], many)), len(bags))
         linked = (both >= threshold * (weights + times.sum() - both)) & (both > 0) & (classes != of)
-        found += [(a, x) for x in ids[linked].tolist()]
+        met, first = np.unique(classes[linked], return_index=True)
+        found += [(a, x) for x in ids[linked][first].tolist()]
+        same.update((c, of) for c in met.tolist())
+        classes[np.isin(classes, met)] = of
     return found
 
 
@@ -252,7 +260,7 @@ def _classes(docs: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
     involved = pairs.select("id").union(pairs.select("pivot")).distinct()
     involved = scratch.written(numbered.select(F.col("no").alias("id"), "copy", "first").join(involved, "id", "left_semi").select(F.col("id").alias("no"), "copy", "first"), "involved")
     few = involved.limit(FEW_TEXTS + 1).count() <= FEW_TEXTS
-    found = texts.join(F.broadcast(involved) if few else involved, "copy").filter(F.col("id").eqNullSafe(F.col("first"))).select(F.col("no").alias("id"), "text")
+    found = texts.join(F.broadcast(involved) if few else involved, "copy").filter(F.col("id").eqNullSafe(F.col("first"))).select(F.col("no").alias("id"), "text", F.octet_length("text").cast("long").alias("size"))
     of = scratch.written(found.dropDuplicates(["id"]), "partners")
     other = of.select(F.col("id").alias("pivot"), F.col("text").alias("pivot_text"))
     seen = pairs.join(of, "id").join(other, "pivot")
@@ -280,14 +288,15 @@ def _rest(judged: DataFrame, belongs: DataFrame, of: DataFrame, threshold: float
     pivot_class = belongs.select(F.col("id").alias("pivot"), F.col("class").alias("pivot_class"))
     member = judged.join(own, "id", "left").join(pivot_class, "pivot", "left")
     member = member.select("pivot", "id", F.coalesce("class", "id").alias("class"), F.coalesce("pivot_class", "pivot").alias("pivot_class"), (1 - F.col("similarity")).alias("distance"))
-    member = scratch.written(member.withColumn("outside", F.col("class") != F.col("pivot_class")), "members")
-    families = member.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.count_if("outside").alias("n_out"))
-    families = scratch.written(families.filter("n_out > 0 AND n > 1"), "families")
+    member = member.withColumn("outside", F.col("class") != F.col("pivot_class")).join(of.select("id", (F.col("size") + TEXT_BYTES).alias("size")), "id")
+    member = scratch.written(member, "members")
+    families = member.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("held"), F.sum(F.when(F.col("outside"), F.col("size"))).alias("held_out"))
+    families = scratch.written(families.filter("held_out IS NOT NULL AND n > 1"), "families")
     if families.isEmpty():
         return None
-    blocks = lambda n: F.ceil(F.col(n) / F.lit(float(BLOCK_DOCS))).cast("long")
+    blocks = lambda held: F.ceil(F.col(held) / F.lit(float(BLOCK_BYTES))).cast("long")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
-    rows = member.join(families.select("pivot", blocks("n").alias("across"), blocks("n_out").alias("down")), "pivot")
+    rows = member.join(families.select("pivot", blocks("held").alias("across"), blocks("held_out").alias("down")), "pivot")
     at = F.xxhash64("id")
     left = rows.filter("outside").select("pivot", F.pmod(at, "down").alias("i"), every(F.col("across")).alias("j"), "id", "class", "distance")
     right = rows.select("pivot", every(F.col("down")).alias("i"), F.pmod(at, "across").alias("j"), "id", "class", "distance")
@@ -300,7 +309,7 @@ def _rest(judged: DataFrame, belongs: DataFrame, of: DataFrame, threshold: float
         return pa.table([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     keys = ["pivot", "i", "j"]
-    left, right = (side.join(of, "id").select(*[F.col(c).alias(c) for c in (*keys, "id", "class", "distance", "text")]) for side in (left, right))
+    left, right = (side.join(of.select("id", "text"), "id").select(*[F.col(c).alias(c) for c in (*keys, "id", "class", "distance", "text")]) for side in (left, right))
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(cell, "a long, b long")
     return scratch.written(found, "more")
 

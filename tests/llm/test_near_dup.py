@@ -63,7 +63,7 @@ def brute(rows, threshold=0.8):
 
 
 def test_brute_force(spark, documents, monkeypatch):
-    monkeypatch.setattr(nd, "BLOCK_DOCS", 16)
+    monkeypatch.setattr(nd, "BLOCK_BYTES", 16 << 10)
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
     rows, base = [], [word() for _ in range(150)]
@@ -95,7 +95,7 @@ def test_odd_rows(spark, documents):
 
 def test_several_texts_of_an_id(spark, documents, monkeypatch):
     """Each text is compared as itself, whichever rows share its id."""
-    monkeypatch.setattr(nd, "BLOCK_DOCS", 4)
+    monkeypatch.setattr(nd, "BLOCK_BYTES", 2 << 10)
     rng = random.Random(9)
     words = [["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(60)] for _ in range(12)]
     near = [w[:-1] + ["other"] for w in words]
