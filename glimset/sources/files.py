@@ -15,10 +15,14 @@ def image_files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", IMAGES).load(folder)
 
 
-def image_stream(spark: SparkSession, folder: str, files_at_once: int = 5) -> DataFrame:
-    """The same as a stream of new files of the folder tree, at most so many a micro-batch."""
+def image_stream(spark: SparkSession, folder: str, files_at_once: int = 5, bytes_at_once: int | None = None) -> DataFrame:
+    """The same as a stream of new files of the folder tree, at most so many a micro-batch.
+
+    If ``bytes_at_once`` is given it bounds the micro-batches instead: each costs some seconds however little it holds,
+    so that many small files should share one."""
     schema = "path string, modificationTime timestamp, length long, content binary"
-    return spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", IMAGES).option("maxFilesPerTrigger", files_at_once).load(folder)
+    reader = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", IMAGES)
+    return (reader.option("maxBytesPerTrigger", bytes_at_once) if bytes_at_once else reader.option("maxFilesPerTrigger", files_at_once)).load(folder)
 
 
 def read_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:

@@ -7,7 +7,10 @@ import contextlib
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from itertools import islice
+from pathlib import Path
 
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
@@ -93,3 +96,23 @@ def put(spark: SparkSession, path: str, content: bytes) -> None:
         out.write(bytearray(content))
     finally:
         out.close()
+
+
+def put_all(spark: SparkSession, folder: str, contents: Iterable[tuple[str, bytes]], at_once: int = 16) -> None:
+    """Writes many small files (path in the folder, content), several at a time; only few wait in memory.
+
+    Files of a local disk are written directly: Hadoop, without its native library, starts two processes for each."""
+    files, where = filesystem(spark, folder)
+    local = Path(where.toUri().getPath()) if files.getScheme() == "file" else None
+
+    def one(file: tuple[str, bytes]) -> None:
+        if local:
+            (local / file[0]).parent.mkdir(parents=True, exist_ok=True)
+            (local / file[0]).write_bytes(file[1])
+        else:
+            put(spark, f"{folder}/{file[0]}", file[1])
+
+    rest = iter(contents)
+    with ThreadPoolExecutor(at_once) as pool:
+        while some := list(islice(rest, 1024)):
+            list(pool.map(one, some))  # raises what a write raised

@@ -33,6 +33,8 @@ from glimset.sources.shared import filesystem
 #: From a file's bytes, and the model if there is a set-up, to vectors.
 Extractor = Callable[..., list[list[float]]]
 _MODELS: dict[str, object] = {}
+#: Rows that a task of a micro-batch writes, about.
+ROWS_A_FILE = 100_000
 
 
 def stand_in(content: bytes, dimension: int = 8) -> list[list[float]]:
@@ -85,23 +87,27 @@ def write_batch(extracted: DataFrame, photos: DataFrame, faces_path: str, log_pa
 
     ``photos``: (id, file_path). Files without a photo go to ``<log_path>-unmatched`` with their errors."""
     extracted.persist()
+    kept = [extracted]
     try:
-        # only photos with the batch's few paths are joined; Spark broadcasts the paths
-        paths = extracted.select("path", relative(F.col("path")).alias("file_path")).distinct()
-        of = paths.join(photos.select(F.col("id").alias("photo_id"), "file_path"), "file_path", "left").select("path", "photo_id").persist()
-        known = of.filter("photo_id IS NOT NULL")
+        # as many tasks as rows ask for, not Spark's number of shuffle partitions, which most batches would leave empty
+        parts = extracted.count() // ROWS_A_FILE + 1
+        kept.append(found := changes(extracted.select("path", "error").repartition(parts, "path")).withColumn("file_path", relative(F.col("path"))).persist())
+        found.count()  # with its bytes known, Spark broadcasts it where it is small, and photos are read but not shuffled
+        kept.append(mine := photos.select(F.col("id").alias("photo_id"), "file_path").join(found.select("file_path"), "file_path", "left_semi").persist())
+        mine.count()
+        kept.append(done := found.join(mine, "file_path", "left").select("path", "photo_id", "status", "error").persist())
+        known = done.filter("photo_id IS NOT NULL")
         claim = known.select("photo_id", F.lit(PROCESSING).alias("status"), F.lit(None).cast("string").alias("error"))
         lifecycle.log_rows(claim, now).write.mode("overwrite").parquet(f"{log_path}/batch={batch}-1")
-        faces = extracted.filter("error IS NULL").join(known, "path").select("photo_id", "face_index", "face_vector")
-        faces.write.mode("overwrite").parquet(f"{faces_path}/batch={batch}")
-        done = changes(extracted).join(of, "path", "left")
-        outcome = lifecycle.log_rows(done.filter("photo_id IS NOT NULL"), now + F.expr("INTERVAL 1 MICROSECOND"))
+        faces = extracted.filter("error IS NULL").join(known.select("path", "photo_id"), "path").select("photo_id", "face_index", "face_vector")
+        faces.coalesce(parts).write.mode("overwrite").parquet(f"{faces_path}/batch={batch}")
+        outcome = lifecycle.log_rows(known, now + F.expr("INTERVAL 1 MICROSECOND"))
         begun = F.when(F.col("status") != PENDING, now.cast("timestamp_ntz"))
         outcome.withColumn("started_at", begun).write.mode("overwrite").parquet(f"{log_path}/batch={batch}-2")
         done.filter("photo_id IS NULL").select("path", "status", "error").write.mode("overwrite").parquet(f"{log_path}-unmatched/batch={batch}")
-        of.unpersist()
     finally:
-        extracted.unpersist()
+        for df in reversed(kept):
+            df.unpersist()
 
 
 def start(files: DataFrame, photos: DataFrame, extractor: Extractor, faces_path: str, log_path: str, checkpoint: str, seconds: int | None = 2, setup: Callable[[], object] | None = None) -> StreamingQuery:

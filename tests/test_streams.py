@@ -6,6 +6,7 @@ import time
 from pyspark.sql import functions as F
 
 from glimset.sources.files import append_table, as_json, image_files, image_stream, read_table
+from glimset.sources.shared import put_all
 from glimset.operators import lifecycle
 from glimset.schemas import FACES, STATUS_LOG
 from glimset.streaming import extract, leases
@@ -42,6 +43,23 @@ def test_stream_and_replay(spark, tmp_path):
     assert spark.read.parquet(faces + "2").count() == 6 and extract.read_log(spark, log + "2").count() == 10
 
 
+def test_many_small_files(spark, tmp_path):
+    names = [f"b{k % 3}/{k}.jpg" for k in range(1500)]
+    put_all(spark, f"file://{tmp_path}/in", ((n, b"\x01" + n.encode()) for n in names))
+    photos = spark.createDataFrame(list(enumerate(names)), "id long, file_path string").union(spark.createDataFrame([(2000, names[0])], "id long, file_path string"))
+    faces, log = str(tmp_path / "faces"), str(tmp_path / "log")
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    try:
+        extract.start(image_stream(spark, str(tmp_path / "in"), bytes_at_once=1 << 20), photos, extract.stand_in, faces, log, str(tmp_path / "c"), None).awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    # one micro-batch, and one file of each kind, as few rows need no more
+    assert sorted(p.parent.name for p in tmp_path.glob("log/*/*.parquet")) == ["batch=0-1", "batch=0-2"] and len(list(tmp_path.glob("faces/*/*.parquet"))) == 1
+    assert sorted(r.photo_id for r in spark.read.parquet(faces).collect()) == [*range(1500), 2000]  # two photos share a file
+    assert extract.read_log(spark, log).count() == 3002 and spark.read.parquet(log + "-unmatched").count() == 0
+
+
 def test_work_in_turns(spark, tmp_path):
     rows = [*folder(tmp_path), (9, "b1/lost.jpg")]
     photos = spark.createDataFrame(rows, "id long, file_path string")
