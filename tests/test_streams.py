@@ -3,6 +3,8 @@
 import datetime as dt
 import time
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from glimset.sources.files import append_table, as_json, image_files, image_stream, read_table
@@ -100,6 +102,53 @@ def test_leases(spark, tmp_path):
         query.stop()
 
 
+def test_leases_in_groups(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(leases, "BUCKETS", 16)
+    now = dt.datetime(2024, 1, 1, 12, 0)
+    old, edge, new = now - dt.timedelta(minutes=11), now - dt.timedelta(minutes=10), now - dt.timedelta(minutes=1)
+    claims = [(k, 10, "PROCESSING", edge if k % 2 else new) for k in range(3000)]
+    # of three photos one is done, one gets an older claim late, and one a newer claim whose lease is over
+    later = [[(k, 11, "PROCESSED", None), (k, 9, "PROCESSING", old), (k, 12, "PROCESSING", old)][k % 3] for k in range(3000)]
+    odd = [(None, 5, "PROCESSING", old), (5000, None, "PROCESSING", old), (5001, 1, "PROCESSING", None), (5002, 2, "PENDING", None), (5002, 1, "PROCESSING", old), (2**62 + 1, 2**62, "PROCESSING", old)]
+    for rows in (claims, later + odd):
+        spark.createDataFrame([(*r, None, None) for r in rows], STATUS_LOG).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+    log = spark.readStream.schema(STATUS_LOG).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "log"))
+    moment = now.replace(tzinfo=dt.timezone.utc).timestamp()
+    query = leases.expired(log, now=moment).writeStream.format("memory").queryName("grouped").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    found = {(r.photo_id, r.seq) for r in spark.sql("SELECT * FROM grouped").collect()}
+    assert found == {(k, 13) for k in range(2, 3000, 3)} | {(None, 6), (2**62 + 1, 2**62 + 1)}
+    # a turn a group, not a photo
+    assert [p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators][-1] <= 16
+
+
+def test_lease_timers():
+    class State:
+        get, exists, hasTimedOut, timer = None, False, False, None
+
+        def update(self, value):
+            self.get, self.exists = value, True
+
+        def remove(self):
+            self.get, self.exists = None, False
+
+        def setTimeoutDuration(self, millis):
+            self.timer = millis
+
+    def turn(*rows):
+        state.timer = None
+        return [(r.photo_id, r.seq) for out in leases.on_change((3,), iter([pd.DataFrame(list(rows), columns=["photo_id", "seq", "began"])] if rows else []), state, 1, None) for r in out.itertuples()]
+
+    state, start = State(), lambda seconds: int((time.time() - seconds) * 1e6)
+    assert turn((1, 5, start(20)), (2, 5, start(50))) == [] and 5_000 < state.timer <= 10_001
+    assert turn((2, 4, start(90))) == [] and 5_000 < state.timer <= 10_001  # what comes late leaves the timer
+    assert turn((2, 6, leases.NEVER)) == [] and 30_000 < state.timer <= 40_001  # the first lease is done with
+    assert turn((4, 1, start(61))) == [(4, 2)] and state.timer > 30_000
+    state.update((np.array([[1], [5], [start(60.5)]]).tobytes(),))
+    state.hasTimedOut = True
+    assert turn() == [(1, 6)] and not state.exists
+
+
 def test_tables(spark, tmp_path):
     df = spark.createDataFrame([(1, 2, [0.5]), (2, 2, None)], FACES)
     append_table(df, str(tmp_path / "t"))
