@@ -13,7 +13,7 @@ from glimset.operators import batches, ingest, lifecycle, search
 from glimset.schemas import IMAGE_TYPES, STATUS_LOG, TOKEN_MILLIS
 from glimset.sources import adapters as A
 from glimset.sources.files import as_json, image_stream
-from glimset.sources.shared import put_all, removed, shared_path, written
+from glimset.sources.shared import put_all, removed, setting, shared_path, written
 from glimset.streaming import extract, leases
 
 NOW = "2024-01-15 00:00:00"
@@ -331,7 +331,8 @@ def stream_ingest_faces(s: SparkSession, d: str) -> DataFrame:
     photos = written(photos, "stream-photos")
     # the files stand for those that users upload
     put_all(s, f"{home}/in", ((row.file_path, (b"!\x01\x02\x03\x04"[row.id % 5 :][:1]) + str(row.id).encode()) for row in photos.toLocalIterator()))
-    extract.start(image_stream(s, f"{home}/in", bytes_at_once=1 << 28), photos, extract.stand_in, f"{home}/faces", f"{home}/log", f"{home}/checkpoint", None).awaitTermination()
+    with setting(s, "spark.sql.sources.parallelPartitionDiscovery.parallelism", str(4 * s.sparkContext.defaultParallelism)):  # else Spark looks up a micro-batch's files in 10,000 tasks
+        extract.start(image_stream(s, f"{home}/in", bytes_at_once=1 << 28), photos, extract.stand_in, f"{home}/faces", f"{home}/log", f"{home}/checkpoint", None).awaitTermination()
     faces = s.read.schema("photo_id long, face_index int, face_vector array<double>").parquet(f"{home}/faces").groupBy("photo_id").agg(F.count(F.lit(1)).alias("faces"))
     states = lifecycle.current(extract.read_log(s, f"{home}/log"))
     out = states.join(faces, "photo_id", "left").select("photo_id", "status", "error", (F.col("started_at") <= F.col("processed_at")).alias("in_order"), F.coalesce("faces", F.lit(0)).cast("long").alias("faces"))

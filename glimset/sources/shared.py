@@ -50,18 +50,24 @@ def _remove_made() -> None:
             where.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(where, True)
 
 
+@contextlib.contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """Within, a setting of the session has another value."""
+    was = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if was is None else spark.conf.set(key, was)
+
+
 @contextlib.contextmanager
 def shuffles_removed(spark: SparkSession) -> Iterator[None]:
     """Within, Spark deletes an execution's shuffle files when it has ended, not when the driver collects its garbage.
 
     For executions that write a table: nothing reads their shuffles again."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    was = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
-    try:
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
         yield
-    finally:
-        spark.conf.set(key, was)
 
 
 def write_table(df: DataFrame, path: str) -> DataFrame:
@@ -99,20 +105,20 @@ def put(spark: SparkSession, path: str, content: bytes) -> None:
 
 
 def put_all(spark: SparkSession, folder: str, contents: Iterable[tuple[str, bytes]], at_once: int = 16) -> None:
-    """Writes many small files (path in the folder, content), several at a time; only few wait in memory.
+    """Writes many small files (path in the folder, content); only few wait in memory.
 
-    Files of a local disk are written directly: Hadoop, without its native library, starts two processes for each."""
+    Files of a local disk are written directly, as Hadoop without its native library starts two processes for each; others several at a time."""
     files, where = filesystem(spark, folder)
-    local = Path(where.toUri().getPath()) if files.getScheme() == "file" else None
-
-    def one(file: tuple[str, bytes]) -> None:
-        if local:
-            (local / file[0]).parent.mkdir(parents=True, exist_ok=True)
-            (local / file[0]).write_bytes(file[1])
-        else:
-            put(spark, f"{folder}/{file[0]}", file[1])
-
+    if files.getScheme() == "file":
+        local, made = Path(where.toUri().getPath()), set()
+        for path, content in contents:
+            file = local / path
+            if file.parent not in made:
+                file.parent.mkdir(parents=True, exist_ok=True)
+                made.add(file.parent)
+            file.write_bytes(content)
+        return
     rest = iter(contents)
     with ThreadPoolExecutor(at_once) as pool:
         while some := list(islice(rest, 1024)):
-            list(pool.map(one, some))  # raises what a write raised
+            list(pool.map(lambda file: put(spark, f"{folder}/{file[0]}", file[1]), some))  # raises what a write raised
