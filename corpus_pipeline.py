@@ -59,9 +59,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
-    found = decontaminate.contamination(docs, items, carry=docs.columns)  # by which item doesn't matter: those without an id are searched too
-    return found.filter(F.size("spans") == 0).select("row.*")
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

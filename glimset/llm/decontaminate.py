@@ -10,7 +10,8 @@ which all terms occur start from the places of their term that is rarest there,
 every list by the term's offset in the window and intersect, all windows at once: what is left are the
 places where the whole window occurs (exact phrase). With ``slack`` over 0 it also returns the windows
 whose first term occurs, and each other term at most ``slack`` words off its place from there
-(proximity). ``op4_decontaminate`` returns the exact part, ``op4_decontaminate_near`` both.
+(proximity). ``op4_decontaminate`` returns the exact part, ``op4_decontaminate_near`` both. ``clean`` returns the
+rows without an exact phrase: it searches each block's index when it has been built and stores none.
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after A-Z are lower-cased. Defined cases: a null
 or empty text has no words, so it is neither hit nor a test item; items without an id are not
@@ -20,16 +21,16 @@ items nothing is hit; other columns are ignored; texts of any length are indexed
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructType
 
-from ._common import Scratch, in_slices, words_of, written
+from ._common import Scratch, in_slices, removed, shared_path, words_of, write_table, written
 
 #: A block's terms are words, with a blank between two. Postings follow each other by term: ``starts`` (32-bit) says where a
 #: term's begin, ``docs`` (16-bit) and ``positions`` (32-bit) are each posting's document in the block and place in it.
@@ -38,6 +39,10 @@ INDEX = "block string, doc_ids array<long>, n_words array<long>, terms binary, s
 FOUND = "row_key string, doc_id long, n_words long, spans array<struct<start:long,end:long>>, near array<struct<start:long,end:long>>, items array<string>, near_items array<string>"
 #: Documents of a block at most, and the bits of a place in one.
 MOST_DOCS, PLACE_BITS = 512, 43
+#: Documents and bytes of text at which a block ends.
+BLOCK_DOCS, BLOCK_BYTES = 256, 1 << 20
+#: Bytes of items that are looked up in one pass.
+CHUNK_BYTES = 4 << 20
 #: Places that are looked at together.
 MOST_PLACES = 1 << 20
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -48,8 +53,8 @@ def _list(values: np.ndarray | list | pa.Array, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
-def index_block(doc_ids: list, texts: list[bytes | None], rows: pa.Array | None = None) -> pa.RecordBatch:
-    """One block's inverted index; ``rows`` are stored beside it as they are."""
+def index_block(doc_ids: list, texts: list[bytes | None]) -> pa.RecordBatch:
+    """One block's inverted index."""
     number: dict[bytes, int] = {}
     ids, n_words = [], []
     for text in texts:
@@ -63,38 +68,37 @@ def index_block(doc_ids: list, texts: list[bytes | None], rows: pa.Array | None
     starts = np.searchsorted(found[order], np.arange(len(number) + 1)).astype(np.int32)
     block = f"{doc_ids[0]}-{len(doc_ids)}-{np.random.default_rng().integers(2**62)}"
     columns = [pa.array([block]), _list(doc_ids, pa.int64()), _list(n_words, pa.int64()), *(pa.array([x], pa.binary()) for x in (b" ".join(number), starts.tobytes(), docs[order].tobytes(), positions[order].tobytes()))]
-    names = ["block", "doc_ids", "n_words", "terms", "starts", "docs", "positions"]
-    if rows is not None:
-        columns, names = [*columns, _list(rows, rows.type)], [*names, "rows"]
-    return pa.RecordBatch.from_arrays(columns, names=names)
+    return pa.RecordBatch.from_arrays(columns, names=["block", "doc_ids", "n_words", "terms", "starts", "docs", "positions"])
 
 
-def build_index(docs: DataFrame, path: str, block_docs: int = 256, block_bytes: int = 1 << 20, carry: Sequence[str] = ()) -> DataFrame:
+def blocks_of(texts: pa.Array, block_docs: int, block_bytes: int) -> Iterator[tuple[int, int]]:
+    """(start, stop) of runs of texts, which end at ``block_docs`` (512 at most) or ``block_bytes`` together, or one text of more."""
+    block_docs = min(block_docs, MOST_DOCS)
+    sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0), dtype=np.int64)
+    start, held = 0, 0
+    for k in range(len(texts) + 1):
+        if k == len(texts) or k > start and (k - start == block_docs or held + sizes[k] > block_bytes):
+            if k > start:
+                yield start, k
+            start, held = k, 0
+        if k < len(texts):
+            held += sizes[k]
+
+
+def build_index(docs: DataFrame, path: str, block_docs: int = BLOCK_DOCS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Writes the index of (doc_id, text) to ``path`` and returns it.
 
-    The columns ``carry`` are stored with each document. A block ends at ``block_docs`` documents (512 at most) or ``block_bytes`` of text."""
-    block_docs = min(block_docs, MOST_DOCS)
+    A block ends at ``block_docs`` documents (512 at most) or ``block_bytes`` of text."""
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(1)), 0), dtype=np.int64)
-            start, held = 0, 0
-            for k in range(batch.num_rows + 1):
-                if k == batch.num_rows or k > start and (k - start == block_docs or held + sizes[k] > block_bytes):
-                    part = batch.slice(start, k - start)
-                    if part.num_rows:
-                        yield index_block(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist(), part.column(2) if carry else None)
-                    start, held = k, 0
-                if k < batch.num_rows:
-                    held += sizes[k]
-
-    carried = [F.struct(*[F.col(c) for c in carry]).alias("row")] if carry else []
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carried)
-    schema = StructType.fromDDL(INDEX)
-    if carry:
-        schema = schema.add("rows", ArrayType(rows.schema["row"].dataType))
-    rows.mapInArrow(blocks, schema).write.option("compression", "zstd").parquet(path)
-    return docs.sparkSession.read.schema(schema).parquet(path)
+            for start, stop in blocks_of(batch.column(1), block_docs, block_bytes):
+                part = batch.slice(start, stop - start)
+                yield index_block(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist())
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows.mapInArrow(blocks, INDEX).write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.schema(INDEX).parquet(path)
 
 
 class Windows:
@@ -207,21 +211,15 @@ def _merged(spans: list[tuple[int, int]]) -> list[dict]:
     return out
 
 
-def search(index: DataFrame, items: DataFrame, words: int = 10, slack: int = 0, chunk_bytes: int = 4 << 20) -> DataFrame:
+def search(index: DataFrame, items: DataFrame, words: int = 10, slack: int = 0, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """One row a document: doc_id, n_words, spans (word ranges that exact windows cover), near (the
-    same for proximity matches that aren't exact), items and near_items (ids as sorted strings), and
-    row (a struct of the carried columns) if the index carries any.
+    same for proximity matches that aren't exact), items and near_items (ids as sorted strings).
 
     The items go to the executors in chunks of about ``chunk_bytes`` (and one item at least), so that what is
     broadcast has a bound, some ten times that; each chunk is one pass over the index."""
     sc = index.sparkSession.sparkContext
     asked = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text")).filter("item_id IS NOT NULL")
-    total = asked.agg(F.coalesce(F.sum(F.length("text") + 16), F.lit(0))).first()[0]
-    chunks = max(1, -(-total // chunk_bytes))
-    carried = "rows" in index.columns
-    schema = StructType.fromDDL(FOUND)
-    if carried:
-        schema = schema.add("row", index.schema["rows"].dataType.elementType)
+    chunks = chunks_of(asked, chunk_bytes)
 
     def chunk(k: int) -> DataFrame:
         part = asked.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(chunks)) == k)
@@ -232,21 +230,26 @@ def search(index: DataFrame, items: DataFrame, words: int = 10, slack: int = 0,
             for batch in batches:
                 for r in range(batch.num_rows):
                     block, doc_ids, n_words, *packed = (batch.column(c)[r] for c in range(7))
-                    out = found_in(block.as_py(), doc_ids.values, n_words.values, Block.unpacked(packed, known.vocabulary), known, slack)
-                    yield out.append_column("row", batch.column(7)[r].values) if carried else out
+                    yield found_in(block.as_py(), doc_ids.values, n_words.values, Block.unpacked(packed, known.vocabulary), known, slack)
 
-        return index.mapInArrow(look, schema)
+        return index.mapInArrow(look, FOUND)
 
     found = chunk(0)
     for k in range(1, chunks):
         found = found.unionByName(chunk(k))
     if chunks > 1:  # a document has one row a chunk
         joined = lambda c: F.flatten(F.collect_list(c)).alias(c)
-        found = found.groupBy("row_key").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), *([F.first("row").alias("row")] if carried else []), *map(joined, ("spans", "near", "items", "near_items")))
+        found = found.groupBy("row_key").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), *map(joined, ("spans", "near", "items", "near_items")))
         found = found.withColumns({c: _sql_merged(c) for c in ("spans", "near")} | {c: F.array_sort(F.array_distinct(c)) for c in ("items", "near_items")})
     return found.drop("row_key")
 
 
+def chunks_of(asked: DataFrame, chunk_bytes: int) -> int:
+    """Chunks of about so many bytes that the items' texts make."""
+    total = asked.agg(F.coalesce(F.sum(F.length("text") + 16), F.lit(0))).first()[0]
+    return max(1, -(-total // chunk_bytes))
+
+
 def _sql_merged(spans: str):
     """The union of spans, as disjoint spans."""
     return F.expr(f"""aggregate(array_sort({spans}), cast(array() as array<struct<start:bigint,end:bigint>>),
@@ -272,15 +275,56 @@ def found_in(block: str, doc_ids: pa.Array, n_words: pa.Array, postings: Block,
     return pa.RecordBatch.from_arrays(columns, names=["row_key", "doc_id", "n_words", "spans", "near", "items", "near_items"])
 
 
-def contamination(docs: DataFrame, items: DataFrame, words: int = 10, slack: int = 0, index_path: str | None = None, carry: Sequence[str] = ()) -> DataFrame:
-    """Indexes the documents and searches the items' windows in them; the columns ``carry`` come along.
+def clean(docs: DataFrame, items: DataFrame, words: int = 10, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """The rows of docs in whose texts no exact window of any item occurs, items without an id being looked up too.
+
+    Each block's index is searched when it has been built, and goes: Python gets the texts alone and returns a verdict on
+    each, and no task holds more of the index than a block's. Each chunk of the items is one pass over the rows; only where
+    there are several, the rows that a pass leaves are written for the next one."""
+    spark = docs.sparkSession
+    asked = items.select(F.col("text").cast("binary").alias("text")).filter("text IS NOT NULL").distinct()
+    chunks, before = chunks_of(asked, chunk_bytes), None
+    for k in range(chunks):
+        part = asked.filter(F.pmod(F.xxhash64("text"), F.lit(chunks)) == k)
+        windows = spark.sparkContext.broadcast(Windows((("", bytes(r.text)) for r in part.toLocalIterator()), words))
+        docs = docs.filter(_free_of(windows)(F.col("text").cast("string")))
+        if k + 1 < chunks:
+            path = shared_path(spark, "clean")
+            docs = write_table(docs, path)
+            if before:
+                removed(spark, before)
+            before = path
+    return docs
+
+
+def _free_of(windows: Broadcast) -> Callable[[Column], Column]:
+    """Whether a text holds none of the windows."""
+
+    @F.arrow_udf("boolean")
+    def free(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = windows.value
+        for texts in batches:
+            out = np.ones(len(texts), bool)
+            for start, stop in blocks_of(texts, BLOCK_DOCS, BLOCK_BYTES):
+                block = index_block(list(range(start, stop)), texts[start:stop].cast(pa.binary()).to_pylist())
+                postings = Block.unpacked([block.column(c)[0] for c in (3, 4, 5, 6)], known.vocabulary)
+                for terms, _, _ in known.groups:
+                    _, place = postings.phrases(terms)[0]
+                    out[start + (place >> 33)] = False
+            yield pa.array(out)
+
+    return free
+
+
+def contamination(docs: DataFrame, items: DataFrame, words: int = 10, slack: int = 0, index_path: str | None = None) -> DataFrame:
+    """Indexes the documents and searches the items' windows in them.
 
     The index stays at ``index_path`` for other items; without a path it is made in the shared folder and
     removed when the result has been written there."""
     if index_path:
-        return search(build_index(docs, index_path, carry=carry), items, words, slack)
+        return search(build_index(docs, index_path), items, words, slack)
     with Scratch(docs.sparkSession, "postings") as scratch:
-        return written(search(build_index(docs, f"{scratch.path}/index", carry=carry), items, words, slack), "contamination")
+        return written(search(build_index(docs, f"{scratch.path}/index"), items, words, slack), "contamination")
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

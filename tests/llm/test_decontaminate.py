@@ -105,6 +105,22 @@ def test_near_query(spark, tmp_path):
     assert sum(r.n_near > 0 and not r.contaminated for r in got) > 3
 
 
+def test_clean_against_brute_force_in_chunks_and_blocks(spark, documents, monkeypatch):
+    monkeypatch.setattr(d, "BLOCK_DOCS", 7)
+    rng = random.Random(7)
+    some = lambda n: " ".join(rng.choice("aBcdé") for _ in range(n))
+    items = [(rng.choice([k, None]), some(rng.choice([4, 6, 12]))) for k in range(12)] + [(50, None), (51, "?!")]
+    docs = [(k, f"{some(30)}, {items[k % 12][1]}! {some(20)}" if k % 3 else some(40)) for k in range(40)] + [(90, None), (91, ""), (None, items[0][1]), (92, "z " * 600_000 + items[1][1])]
+    table, asked = documents(*docs), spark.createDataFrame(items, "item_id long, text string")
+    want = sorted((i or 0, t or "") for (i, t), x in zip(docs, brute(list(enumerate(t for _, t in docs)), items, 4).values(), strict=True) if not x[1])
+    for chunk in (1 << 20, 64):
+        got = d.clean(table, asked, words=4, chunk_bytes=chunk)
+        assert got.columns == table.columns
+        rows = got.collect()
+        assert sorted((r.doc_id or 0, r.text or "") for r in rows) == want and 3 < len(want) < len(docs) - 3
+        assert {tuple(r)[4:] for r in rows} == {tuple(r)[4:] for r in table.collect()}
+
+
 def test_index_serves_other_items(spark, documents, tmp_path):
     """The index holds all tokens: a second benchmark is found in it as well."""
     docs = [(1, "one two three four"), (2, "five six seven")]

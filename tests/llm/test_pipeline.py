@@ -1,12 +1,14 @@
 """The pipeline against brute force of each stage."""
 
 from collections import Counter
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from glimset.llm import langid
 from glimset.llm._common import held_out
+from glimset.sources.shared import shared_dir
 from tests.llm.test_decontaminate import brute as contaminated
 from tests.llm.test_near_dup import brute as classes
 
@@ -84,3 +86,14 @@ def test_items_without_id(spark, tmp_path):
     spark.createDataFrame([(None, "one two three"), (7, "four five")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs = spark.createDataFrame([(1, "so One, two three!", "en", "s", 1), (2, "four five", "en", "s", 2), (3, "one two", "en", "s", 3)], "doc_id long, text string, lang string, source string, n_chars long")
     assert [r.doc_id for r in corpus_pipeline.decontamination(spark, docs, str(tmp_path)).collect()] == [3]
+
+
+def test_decontamination_stores_neither_index_nor_rows(spark, sf_dir, tmp_path):
+    """Rows of an index that hold the texts of 256 documents, read and sent to Python by the 64 MB, took an executor over its memory."""
+    own = lambda: {p.name for p in Path(shared_dir(spark).removeprefix("file:")).iterdir()}
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = own()
+    kept = corpus_pipeline.decontamination(spark, docs, sf_dir)
+    kept.write.parquet(f"{tmp_path}/kept")
+    assert own() == before
+    assert 0 < spark.read.parquet(f"{tmp_path}/kept").count() < docs.count()
